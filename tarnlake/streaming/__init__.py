@@ -1,0 +1 @@
+"""Nothing here: every table is a batch snapshot, read once in full. Kept so that a stream would have its place."""
