@@ -3,12 +3,13 @@
 A text is cut at ASCII white space, which no token spans; a chunk's ids are kept, so that each
 distinct chunk is encoded once for as long as it is remembered. A new chunk is normalised and cut
 into words as the file says. Two neighbouring bytes of a word that stand side by side in no token
-of the vocabulary can't be joined by any merge: there the word is cut for certain. Its fragments
-are encoded independently, remembered too, and their ids concatenated.
+of the vocabulary can't be joined by any merge: there the word is cut for certain. All fragments are
+encoded independently of each other, many at a time, and their ids concatenated.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
@@ -25,8 +26,15 @@ from tokenizers import Tokenizer
 from .common import add_columns
 
 WORD_FILE = "word_bpe_49k.json"
-#: Chunks and fragments remembered by a Python worker before it starts afresh: bounds its memory.
-REMEMBERED = 300_000
+#: Chunks remembered by a Python worker: as many met lately, and as many met before.
+REMEMBERED = 400_000
+#: Longer chunks (bytes) are merged with a heap.
+LONG = 1000
+#: Texts encoded together.
+BATCH_ROWS = 1024
+NONE = np.iinfo(np.int32).max
+EMPTY = np.uint32(0xFFFFFFFF)
+MULTIPLIER, SHIFT = np.uint32(2654435769), np.uint32(12)
 #: Below this code point all Unicode versions agree on classes and cases.
 AGREED = "՘"
 END = "</w>"
@@ -57,73 +65,92 @@ class WordBPE:
         self.merges = {}
         for rank, (a, b) in enumerate(model["merges"]):
             self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+        self.made = np.array([new for _, new in self.merges.values()], np.int32)  # by rank
+        self.slot_keys, self.slot_ranks = np.full(1 << 20, EMPTY, np.uint32), np.zeros(1 << 20, np.int32)
+        for (a, b), (rank, _) in self.merges.items():
+            key = a << 16 | b
+            slot = (key * int(MULTIPLIER) & 0xFFFFFFFF) >> int(SHIFT)
+            while self.slot_keys[slot] != EMPTY:
+                slot = (slot + 1) & (1 << 20) - 1
+            self.slot_keys[slot], self.slot_ranks[slot] = key, rank
         letters = byte_letters()
         byte_of = {c: i for i, c in enumerate(letters)}
-        self.inner = [self.vocab[c] for c in letters]
-        self.last = [self.vocab[c + END] for c in letters]
-        joined = set()  # byte pairs that stand side by side in some token
+        self.inner = np.array([self.vocab[c] for c in letters], np.int32)
+        self.last = np.array([self.vocab[c + END] for c in letters], np.int32)
+        self.joined = np.zeros(1 << 16, bool)  # byte pairs that stand side by side in some token
         for token in self.vocab:
             body = [byte_of[c] for c in token.removesuffix(END)]
-            joined.update(a << 8 | b for a, b in zip(body, body[1:]))
-        self.joined = joined
+            self.joined[[a << 8 | b for a, b in zip(body, body[1:])]] = True
         self.library = Tokenizer.from_file(path)  # for texts on which Unicode versions may differ
-        self.chunks: dict[bytes, bytes] = {}
-        self.fragments: dict[tuple[bytes, bool], tuple[int, ...]] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def cuts(self, word: bytes) -> list[bytes]:
         """The fragments of a word between its forced boundaries."""
-        joined, start, out = self.joined, 0, []
-        for i in range(1, len(word)):
-            if word[i - 1] << 8 | word[i] not in joined:
-                out.append(word[start:i])
-                start = i
-        out.append(word[start:])
-        return out
+        letters = np.frombuffer(word, np.uint8)
+        at = np.flatnonzero(self.forced(letters)) + 1
+        return [word[i:j] for i, j in zip([0, *at], [*at, len(word)])]
+
+    def forced(self, letters: np.ndarray) -> np.ndarray:
+        """Whether there is a forced boundary between each byte and the next."""
+        return ~self.joined[letters[:-1].astype(np.uint16) << 8 | letters[1:]]
 
-    def merge(self, fragment: bytes, ends: bool) -> tuple[int, ...]:
-        """The ids of a fragment: the merge of lowest rank is applied, leftmost first, until none is left."""
-        ids = [self.inner[b] for b in fragment]
-        if ends:
-            ids[-1] = self.last[fragment[-1]]
-        get, none = self.merges.get, (1 << 60, -1)
-        while len(ids) > 1:
-            pairs = list(zip(ids, ids[1:]))
-            rank, new = min([get(p, none) for p in pairs])
-            if new < 0:
-                break
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and get((ids[i], ids[i + 1]), none)[0] == rank:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return tuple(ids)
-
-    def word_ids(self, word: bytes) -> list[int]:
-        out, parts = [], self.cuts(word)
-        for k, fragment in enumerate(parts):
-            key = (fragment, k == len(parts) - 1)
-            got = self.fragments.get(key)
-            if got is None:
-                if len(self.fragments) >= REMEMBERED:
-                    self.fragments.clear()
-                # an endless fragment isn't worth remembering
-                got = self.merge(*key) if len(fragment) < 64 else self.merge_long(*key)
-                if len(fragment) < 64:
-                    self.fragments[key] = got
-            out += got
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merge ranks of pairs of ids; NONE where there is no merge."""
+        keys = left.astype(np.uint32) << 16 | right.astype(np.uint32)
+        slots = (keys * MULTIPLIER) >> SHIFT
+        found = self.slot_keys[slots]
+        out = np.where(found == keys, self.slot_ranks[slots], NONE)
+        open_ = np.flatnonzero((found != keys) & (found != EMPTY))
+        while len(open_):  # the few whose slot another pair has
+            slots[open_] = (slots[open_] + 1) & (len(self.slot_keys) - 1)
+            found = self.slot_keys[slots[open_]]
+            same = found == keys[open_]
+            out[open_[same]] = self.slot_ranks[slots[open_[same]]]
+            open_ = open_[~same & (found != EMPTY)]
         return out
 
-    def merge_long(self, fragment: bytes, ends: bool) -> tuple[int, ...]:
-        """As merge(), with a heap: for fragments of any length."""
-        import heapq
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many words, one after the other, and how many each word has.
 
-        ids = [self.inner[b] for b in fragment]
-        if ends:
-            ids[-1] = self.last[fragment[-1]]
+        All fragments advance at once: in a round each applies its merge of lowest rank, leftmost
+        first, wherever it occurs; fragments without a merge leave.
+        """
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(lengths) - 1
+        token = self.inner[letters]
+        token[ends] = self.last[letters[ends]]
+        alive = np.ones(len(letters), bool)
+        first = np.zeros(len(letters), bool)
+        first[1:] = self.forced(letters)
+        first[ends[:-1] + 1] = True
+        symbol, fragment, place = token.copy(), np.cumsum(first), np.arange(len(letters))
+        while len(symbol):
+            begins = np.flatnonzero(np.concatenate(([True], fragment[1:] != fragment[:-1])))
+            rank = np.full(len(symbol), NONE, np.int32)
+            rank[:-1] = self.ranks(symbol[:-1], symbol[1:])
+            rank[begins[1:] - 1] = NONE  # the last of a fragment has no right neighbour
+            least = np.repeat(np.minimum.reduceat(rank, begins), np.diff(begins, append=len(symbol)))
+            done = least == NONE
+            hit = (rank == least) & ~done
+            if (hit[1:] & hit[:-1]).any():  # a run of one symbol: every other pair
+                at = np.arange(len(hit))
+                run = at - np.maximum.accumulate(np.where(hit, -1, at)) - 1
+                hit &= run % 2 == 0
+            symbol[hit] = self.made[rank[hit]]
+            gone = np.concatenate(([False], hit[:-1]))
+            alive[place[gone]] = False
+            token[place[done]] = symbol[done]
+            stay = ~(gone | done)
+            symbol, fragment, place = symbol[stay], fragment[stay], place[stay]
+        counts = np.add.reduceat(alive.astype(np.int64), ends - lengths + 1) if len(words) else lengths
+        return token[alive], counts
+
+    def merge_long(self, word: bytes) -> list[int]:
+        """As merge(), for one word of any length, with a heap."""
+        ids = self.inner[np.frombuffer(word, np.uint8)].tolist()
+        ids[-1] = int(self.last[word[-1]])
         n = len(ids)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
@@ -140,46 +167,66 @@ class WordBPE:
             for p, q in ((left[i], i), (i, right[i])):
                 if p >= 0 and q >= 0 and (m := self.merges.get((ids[p], ids[q]))):
                     heapq.heappush(heap, (m[0], p, ids[p], ids[q], m[1]))
-        return tuple(x for x in ids if x >= 0)
+        return [x for x in ids if x >= 0]
 
     def split(self, text: str) -> list[bytes]:
         """The words of a stretch without special tokens, normalised, as bytes."""
-        if text.isascii():
-            return [w.encode() for w in self.words.findall(text.lower())]
-        if max(text) < AGREED:
+        if not text.isascii():
+            if max(text) >= AGREED:
+                letters = {c: i for i, c in enumerate(byte_letters())}
+                found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+                return [bytes(letters[c] for c in w) for w, _ in found]
             # lower-casing letter by letter has no final sigma
-            normal = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-            return [w.encode() for w in self.words.findall(normal)]
-        letters = {c: i for i, c in enumerate(byte_letters())}
-        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-        return [bytes(letters[c] for c in w) for w, _ in found]
-
-    def chunk_ids(self, chunk: bytes) -> bytes:
-        out: list[int] = []
-        text = chunk.decode("utf-8")
-        for part in self.special_cut.split(text) if self.special_cut and "<" in text else [text]:
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                for word in self.split(part):
-                    out += self.word_ids(word)
-        return np.array(out, "<u4").tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a whole text as little-endian unsigned 32-bit integers; of NULL: none."""
-        if not text:
-            return b""
-        chunks, out = self.chunks, []
-        for c in text.encode("utf-8").split():
-            got = chunks.get(c)
-            if got is None:
-                if len(chunks) >= REMEMBERED:
-                    chunks.clear()
-                got = self.chunk_ids(c)
-                if len(c) < 256:
-                    chunks[c] = got
-            out.append(got)
-        return b"".join(out)
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        text = text.lower()
+        if text.isalpha():
+            return [text.encode()]
+        if text[-1] in ".,!|" and text[:-1].isalpha():
+            return [text[:-1].encode(), text[-1].encode()]
+        return [w.encode() for w in self.words.findall(text)]
+
+    def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of new chunks as little-endian unsigned 32-bit integers."""
+        out, plain, words, sizes = {}, [], [], []
+        for chunk in chunks:
+            text = chunk.decode("utf-8")
+            if len(chunk) > LONG or self.special_cut and "<" in text and self.special_cut.search(text):
+                ids: list[int] = []
+                for part in self.special_cut.split(text) if self.special_cut else [text]:
+                    ids += [self.special[part]] if part in self.special else [i for w in (self.split(part) if part else []) for i in self.merge_long(w)]
+                out[chunk] = np.array(ids, "<u4").tobytes()
+            else:
+                found = self.split(text)
+                plain.append(chunk)
+                words += found
+                sizes.append(len(found))
+        if not words:
+            return out | dict.fromkeys(plain, b"")
+        ids, counts = self.merge(words)
+        raw = ids.astype("<u4").tobytes()
+        word_ends = np.concatenate(([0], np.cumsum(counts)))
+        ends = (4 * word_ends[np.cumsum(sizes)]).tolist()
+        begin = 0
+        for chunk, end in zip(plain, ends):
+            out[chunk] = raw[begin:end]
+            begin = end
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of whole texts as little-endian unsigned 32-bit integers; of NULL: none."""
+        split = [t.encode("utf-8").split() if t else [] for t in texts]
+        known, old = self.known, self.old
+        new = []
+        for c in {c for chunks in split for c in chunks if c not in known}:
+            if (got := old.get(c)) is None:
+                new.append(c)
+            else:
+                known[c] = got
+        known.update(self.learn(new))
+        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        if len(known) >= REMEMBERED:  # what isn't met again is forgotten
+            self.known, self.old = {}, known
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, special tokens included: the file names no decoder, so tokens stand between blanks."""
@@ -202,10 +249,10 @@ def encode_decode(df: DataFrame, text_col: str = "text", path: str | None = None
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         bpe = tokenizer(path)
-        ids = [bpe.encode(t) for t in batch.column(0).to_pylist()]
+        ids = bpe.encode(batch.column(0).to_pylist())
         return [pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([bpe.decode(i) for i in ids], pa.string())]
 
-    return add_columns(df, run, "ids binary, n_tokens bigint, decoded string", [text_col])
+    return add_columns(df, run, "ids binary, n_tokens bigint, decoded string", [text_col], BATCH_ROWS)
 
 
 def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

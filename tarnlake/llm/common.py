@@ -49,7 +49,7 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def add_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], added: str, reads: Sequence[str]) -> DataFrame:
+def add_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], added: str, reads: Sequence[str], rows_at_once: int = SLICE_ROWS) -> DataFrame:
     """df with the columns of the DDL string `added`, which fn computes from each slice of rows.
 
     fn sees only the columns `reads`. Columns of df that have an added name are replaced.
@@ -63,7 +63,7 @@ def add_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], a
     rows = df.select(*[F.col(f"`{c}`") for c in kept.columns], *[F.col(f"`{df.columns[i]}`").alias(f"__read{k}") for k, i in enumerate(where)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, rows_at_once):
             out = fn(pa.RecordBatch.from_arrays(part.columns[n:], names=list(reads)))
             yield pa.RecordBatch.from_arrays([*part.columns[:n], *out], names=schema.names)
 

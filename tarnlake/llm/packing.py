@@ -13,7 +13,6 @@ is that of one pool. A task run again packs the same rows the same way.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -22,9 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
-from tokenizers import Tokenizer
 
-from .bpe import REMEMBERED, WORD_FILE
+from .bpe import BATCH_ROWS, WORD_FILE, tokenizer
 from .common import slices
 
 WINDOW = 4096
@@ -33,31 +31,6 @@ END_ID = 2
 POOL_TOKENS = 6_000_000
 
 
-class ChunkEncoder:
-    """The tokenizers library, asked once for each distinct chunk between ASCII white space (no token spans any)."""
-
-    def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8").split() for t in texts]
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({c for chunks in split for c in chunks if c not in known})
-        found = self.library.encode_batch([c.decode("utf-8") for c in new], add_special_tokens=False)
-        known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(new, found))
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-
-
-@lru_cache(maxsize=4)
-def chunk_encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
-
-
 class Capacities:
     """Open windows by remaining capacity, under a segment tree of whether a range of capacities has any."""
 
@@ -164,7 +137,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
     schema = StructType([StructField(id_col, kind), *StructType.fromDDL(", ".join(f"{n} bigint" for n in numbers) + ", ids binary")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = chunk_encoder(path)
+        encoder = tokenizer(path)
         sequence = TaskContext.get().partitionId() << 32
         end = np.array([end_id], "<u4").tobytes()
         out: list[tuple] = []
@@ -190,7 +163,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
                 sequence += 1
             pool.clear()
 
-        for batch in slices(batches):
+        for batch in slices(batches, BATCH_ROWS):
             id_type = batch.column(0).type
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
                 ids += end
