@@ -49,13 +49,14 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def add_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], added: str, reads: Sequence[str], rows_at_once: int = SLICE_ROWS) -> DataFrame:
+def add_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], added: str, reads: Sequence[str], rows_at_once: int = SLICE_ROWS, carry: bool = True) -> DataFrame:
     """df with the columns of the DDL string `added`, which fn computes from each slice of rows.
 
-    fn sees only the columns `reads`. Columns of df that have an added name are replaced.
+    fn sees only the columns `reads`; carry=False leaves them out of the result. Columns of df that
+    have an added name are replaced.
     """
     new = StructType.fromDDL(added)
-    kept = without(df, new.names)
+    kept = without(df, [*new.names, *([] if carry else reads)])
     schema = StructType([*kept.schema.fields, *new.fields])
     n = len(kept.columns)
     where = [df.columns.index(c) for c in reads]
@@ -123,3 +124,16 @@ def repeated_filter(keys: DataFrame, key: str) -> DataFrame:
     word, mask = filter_cell(F.col(key))
     hits = keys.select(word.alias("__word"), mask.alias("__mask")).groupBy("__word", "__mask").agg(F.count("*").alias("__n"))
     return hits.filter("__n > 1").groupBy("__word").agg(F.bit_or("__mask").alias("__bits"))
+
+
+def drop_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """df without the rows whose id is in the one column of ids.
+
+    Rows that the filter of the ids certainly lacks keep their place; only the others shuffle.
+    """
+    (name,) = ids.columns
+    keyed = ids.select(F.col(f"`{name}`").alias("__gone")).withColumn("__key", F.xxhash64("__gone"))
+    told = maybe_in(df, F.xxhash64(F.col(f"`{id_col}`")), filter_of(keyed, "__key"), "__maybe")
+    some = told.filter("__maybe").drop("__maybe")
+    sure = some.join(keyed.select("__gone").distinct(), some[f"`{id_col}`"] == F.col("__gone"), "left_anti")
+    return told.filter("NOT __maybe").drop("__maybe").unionByName(sure)
