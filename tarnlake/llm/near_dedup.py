@@ -5,11 +5,12 @@ with equal sets form a class, and only its smallest id goes on. Classes that agr
 minima share a bucket. All members of a bucket are compared with its hub (its smallest id), first
 by signature, then by their full sets. Links give components by large-star and small-star.
 
-Members that a hub doesn't link may still be linked to each other. So buckets whose members lie in
-several components are searched on: each member's likeliest partners in other components by
-signature are confirmed, more of them each round, until no untried pair is left. Links inside a
-component can't change it and aren't looked for; no pair of different components is given up
-unless its signatures differ too much for a link. Nothing is capped.
+Members that a hub doesn't link may still be linked to each other. So buckets whose other members
+lie in several components are searched again, exactly: an inverted list of their shingles gives the
+overlap of each member outside the largest component with all the others at once. A member of which
+over a fifth of the shingles are in no other set can't be linked and is passed over. Links inside a
+component can't change it and aren't looked for; of several links between a member and a component
+one is returned. Nothing is capped; a large bucket is dealt out as pairs of blocks.
 
 With 32 bands of 4 minima a pair of similarity 0.8 shares no bucket once in 20 million times; an
 estimate from 128 minima is more than MARGIN too low once in a million.
@@ -36,9 +37,7 @@ BANDS, ROWS = 32, 4
 #: A signature may understate the similarity by this much.
 MARGIN = 0.18
 #: Members of a bucket that one task compares with each other at a time.
-BLOCK = 2000
-#: Partners tried for each member in the first further round, and the factor from round to round.
-TRIES, MORE = 4, 8
+BLOCK = 1000
 #: Word hashes a worker remembers.
 REMEMBERED = 500_000
 
@@ -149,28 +148,28 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "u bigint, v bigint")
 
 
-def _likeliest(tries: int):
-    """For a block pair of a bucket: each member's likeliest partners in other components."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        sig = np.stack([np.frombuffer(s, np.uint32) for s in pdf["sig"]])
-        ids, comp, block = pdf["id"].to_numpy(), pdf["component_id"].to_numpy(), pdf["block"].to_numpy()
-        labels, sizes = np.unique(comp, return_counts=True)
-        asks = np.flatnonzero(comp != labels[sizes.argmax()])  # pairs of the largest with others are the others' to ask
-        out = []
-        for a in asks:
-            other = np.flatnonzero((comp != comp[a]) & ((block != block[a]) | (i == j)))
-            if not len(other):
-                continue
-            alike = (sig[other] == sig[a]).mean(axis=1)
-            likely = np.flatnonzero(alike >= PERCENT / 100 - MARGIN)
-            more = len(likely) > tries
-            best = likely[np.lexsort((ids[other[likely]], -alike[likely]))[:tries]]
-            out += [(max(ids[a], ids[other[b]]), min(ids[a], ids[other[b]]), more) for b in best]
-        return pd.DataFrame(out, columns=["u", "v", "more"])
-
-    return run
+def _cross_links(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """For a block pair of a bucket: exact links between its components, at most one for a member and a component."""
+    _, i, j = key
+    sets = [np.frombuffer(h, np.uint64) for h in pdf["hashes"]]
+    ids, comp, block = pdf["id"].to_numpy(), pdf["component_id"].to_numpy(), pdf["block"].to_numpy()
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    _, found, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owners = np.repeat(np.arange(len(sets)), sizes)[np.argsort(found, kind="stable")]  # by shingle
+    begins = np.cumsum(often) - often
+    shared = np.add.reduceat((often[found] > 1).astype(np.int64), ends - sizes)
+    able = 100 * shared >= PERCENT * sizes  # an overlap is at least this share of either set
+    labels, counts = np.unique(comp, return_counts=True)
+    out = []
+    for a in np.flatnonzero(able & (comp != labels[counts.argmax()])):
+        mine = found[ends[a] - sizes[a] : ends[a]]
+        overlap = np.bincount(np.concatenate([owners[begins[s] : begins[s] + often[s]] for s in mine]), minlength=len(sets))
+        linked = (100 * overlap >= PERCENT * (sizes[a] + sizes - overlap)) & (comp != comp[a]) & ((block != block[a]) | (i == j))
+        partners = np.flatnonzero(linked)
+        _, first = np.unique(comp[partners], return_index=True)
+        out += [(max(ids[a], ids[b]), min(ids[a], ids[b])) for b in partners[first]]
+    return pd.DataFrame(out, columns=["u", "v"])
 
 
 def linked_components(reps: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -183,27 +182,18 @@ def linked_components(reps: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     wanted = members.select(F.xxhash64("id").alias("k")).distinct()
     near = maybe_in(texts, F.xxhash64("id"), filter_of(wanted, "k"), "__maybe").filter("__maybe").select("id", "text")
     sets = settled(full_sets(near, "text", k))
-    tested = settled(members.filter("id != hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct())
+    tested = members.filter("id != hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct()
     found = star_components(confirmed(tested, sets))
-    tries = TRIES
-    while True:
-        labelled = members.filter("id != hub").join(found, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("component_id"))
-        # all pairs with the hub are tested; open are buckets whose other members lie in two components
-        per_key = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("component_id").alias("a"), F.max("component_id").alias("b")).filter("a != b").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        open_ = labelled.join(per_key, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component_id")
-        signed = dealt.join(sets.select("id", "sig"), "id").groupBy("key", "i", "j")
-        likely = settled(signed.applyInPandas(_likeliest(tries), "u bigint, v bigint, more boolean").groupBy("u", "v").agg(F.max("more").alias("more")))
-        new = settled(likely.select("u", "v").join(tested, ["u", "v"], "left_anti"))
-        fresh = not new.isEmpty()
-        if not fresh and likely.filter("more").isEmpty():
-            return found
-        if fresh:
-            links = settled(confirmed(new, sets))
-            tested = tested.unionByName(new)
-            if not links.isEmpty():
-                found = star_components(found.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(links))
-        tries *= MORE
+    labelled = members.filter("id != hub").join(found, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("component_id"))
+    # all pairs with the hub are tested; open are buckets whose other members lie in two components
+    per_key = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("component_id").alias("a"), F.max("component_id").alias("b")).filter("a != b").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    open_ = labelled.join(per_key, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component_id")
+    full = dealt.join(sets.select("id", "hashes"), "id").groupBy("key", "i", "j")
+    links = settled(full.applyInPandas(_cross_links, "u bigint, v bigint").distinct())
+    if links.isEmpty():
+        return found
+    return star_components(found.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(links))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
