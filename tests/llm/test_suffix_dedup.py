@@ -1,0 +1,98 @@
+"""The transform against sorted suffixes, and removal of passages against all passages by brute force."""
+
+import hashlib
+import random
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from oracle import SF
+from pyspark.sql import functions as F
+
+from tarnlake.llm import suffix_dedup
+from tarnlake.llm.bwt import collection_bwt
+from tarnlake.llm.queries import QUERIES
+
+
+@given(st.lists(st.binary(max_size=12).map(lambda b: bytes(97 + x % 3 for x in b)), max_size=9))
+@settings(max_examples=300, deadline=None)
+def test_transform(strings):
+    bwt, common, owner, start = collection_bwt(strings)
+    want = sorted(((s[i:], k, i) for k, s in enumerate(strings) for i in range(len(s) + 1)), key=lambda x: (x[0], x[1]))
+    assert [(k, i) for _, k, i in want] == list(zip(owner.tolist(), start.tolist()))
+    assert [strings[k][i - 1] if i else 0 for _, k, i in want] == bwt.tolist()
+    for (a, *_), (b, *_), n in zip(want, want[1:], common[1:].tolist()):
+        assert n == next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def brute(texts):
+    """n_bytes, n_removed, n_spans and digest by id."""
+    raw = {i: (t or "").encode() for i, t in texts.items()}
+    first = {}
+    for i in sorted(raw):
+        for p in range(len(raw[i]) - 49):
+            first.setdefault(raw[i][p : p + 50], i)
+    out = {}
+    for i, b in raw.items():
+        gone = bytearray(len(b))
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < i:
+                gone[p : p + 50] = b"\x01" * 50
+        spans = sum(g and (not p or not gone[p - 1]) for p, g in enumerate(gone))
+        out[i] = (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
+    return out
+
+
+def check(rows, texts):
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows} == brute(texts)
+
+
+def test_query_equals_brute_force(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    check(QUERIES["op8_suffix_dedup"](spark, SF).collect(), texts)
+
+
+def test_odd_texts(spark, monkeypatch):
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choices("abcdé ", k=n))
+    passage, other = noise(60), noise(49)
+    texts = [None, "", "x" * 49, "x" * 50, "y" + "x" * 300 + "z", "x" * 51, passage, noise(30) + passage + noise(40) + passage, other, noise(9) + other, "ab" * 400, "ba" * 200 + "c"]
+    texts += [noise(80) + passage[3:] + noise(rng.randrange(90)) for _ in range(40)] + [noise(400)] * 5
+    base = noise(900)
+    for _ in range(20):
+        a, b = sorted(rng.sample(range(900), 2))
+        texts.append(noise(20) + base[a:b] + noise(20))
+    texts.append(noise(50000) + base)
+    rng.shuffle(texts)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 3000)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("spans", F.lit(1)).withColumn("N_BYTES", F.lit("x"))
+    check(suffix_dedup.digest(df).collect(), dict(enumerate(texts)))
+    full = suffix_dedup.remove_repeats(df)
+    assert full.columns == ["doc_id", "text", "n_bytes", "n_removed", "spans", "kept_bytes"]
+    for r in full.collect():
+        raw = (r["text"] or "").encode()
+        assert raw == bytes(r["kept_bytes"]) or r["n_removed"] == sum(s["end"] - s["begin"] for s in r["spans"])
+
+
+def test_null_ids_repeats_and_empty(spark):
+    long_, tail = "some words that go on and on until it is long enough, really", "and this is quite another text of enough length to count"
+    df = spark.createDataFrame([(None, long_), (4, long_), (4, long_), (4, long_ + tail), (9, tail), (-3, tail), (None, None)], "doc_id bigint, text string")
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.digest(df).collect()), key=repr)
+    n, k = len(long_), len(tail)
+    assert got == sorted([(None, n, 0, 0), (4, n, 0, 0), (4, n, 0, 0), (4, n + k, k, 1), (9, k, k, 1), (-3, k, 0, 0), (None, 0, 0, 0)], key=repr)
+    assert suffix_dedup.digest(df.limit(0)).count() == 0
+
+
+def test_every_passage_has_one_anchor():
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 101, n).astype(np.uint8)) for n in (49, 50, 51, 400, 0, 3000)]
+    owner, start, n, hashes = suffix_dedup.anchor_runs(texts)
+    seen = {}
+    for o, s, k, h in zip(owner, start, n, hashes):
+        for p in range(s, s + k):
+            assert (o, p) not in seen
+            seen[o, p] = h
+    assert len(seen) == sum(max(0, len(t) - 49) for t in texts)
+    by_passage = {}
+    for (o, p), h in seen.items():
+        assert by_passage.setdefault(texts[o][p : p + 50], h) == h
