@@ -58,9 +58,13 @@ def collection_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
         return np.where(left > 0, padded[np.maximum(begins[strings_] + left, 0)], 0).astype(np.uint8)
 
     every = np.arange(m)
-    bwt, lcp, owner, length = symbol(every, 0), np.zeros(m, np.uint8), every.astype(np.int32), np.zeros(m, np.int32)
+    # a suffix is numbered by its string and length
+    width = int(lengths.max()) + 1
+    bwt, lcp, suffix = symbol(every, 0), np.zeros(m, np.uint8), every * width
+    if m * width < 1 << 31:
+        suffix = suffix.astype(np.int32)
     active, place = every, every.copy()
-    for inserted in range(1, int(lengths.max()) + 1):
+    for inserted in range(1, width):
         going = lengths[active] >= inserted
         active, place = active[going], place[going]
         order = np.argsort(bwt, kind="stable")
@@ -92,6 +96,7 @@ def collection_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
         lcp = merged(lcp, with_before)
         lcp[new[has_after] + 1] = with_after
         bwt = merged(bwt, symbol(active, inserted))
-        owner, length = merged(owner, active.astype(np.int32)), merged(length, np.full(len(active), inserted, np.int32))
+        suffix = merged(suffix, active * width + inserted)
         place = new
-    return bwt, lcp, owner, lengths[owner] - length
+    owner = suffix // width
+    return bwt, lcp, owner, lengths[owner] - suffix % width

@@ -16,6 +16,7 @@ capped.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,18 +32,36 @@ from .near_dedup import mixed
 #: Bytes of a passage, of an anchor, and anchors in a passage.
 SPAN, GRAM = 50, 16
 WIDTH = SPAN - GRAM + 1
+SIDE = (SPAN - GRAM + 1) // 2
 #: Bytes and documents that a task looks at together.
 CHUNK_BYTES, CHUNK_DOCS = 4_000_000, 1000
 #: Buckets for each shuffle partition.
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION = 1
 
-CAND = np.dtype([("id", "<i8"), ("content", "<i8"), ("hash", "<u8"), ("start", "<u4"), ("n", "u1")])
+#: Records that travel between tasks.
+CAND = np.dtype([("id", "<i8"), ("content", "<i8"), ("hash", "<u8"), ("start", "<u4"), ("n", "u1"), ("at", "u1")])
 COVER = np.dtype([("id", "<i8"), ("content", "<i8"), ("start", "<u4"), ("n", "u1")])
-FRAG = np.dtype([("id", "<i8"), ("content", "<i8"), ("hash", "<u8"), ("start", "<u4"), ("n", "u1")])
-ANCHOR = np.dtype([("high", "<u4"), ("low", "<u2"), ("start", "<u4"), ("doc", "<u2"), ("n", "u1")])
+ANCHOR = np.dtype([("high", "<u4"), ("low", "<u2"), ("start", "<u4"), ("doc", "<u2"), ("n", "u1"), ("at", "u1")])
 DOC = np.dtype([("id", "<i8"), ("content", "<i8")])
 
 
+def packed(records: np.ndarray) -> bytes:
+    """Records as compressed bytes, field by field and byte by byte: most of these repeat from record to record."""
+    fields = [np.ascontiguousarray(records[name]).view(np.uint8).reshape(len(records), -1).T.tobytes() for name in records.dtype.names]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(fields))
+
+
+def unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
+    raw = zstandard.decompress(data)
+    records, at = np.zeros(len(raw) // kind.itemsize, kind), 0
+    for name in kind.names:
+        width = kind[name].itemsize
+        part = np.frombuffer(raw, np.uint8, len(records) * width, at).reshape(width, len(records))
+        records[name] = np.ascontiguousarray(part.T).view(kind[name]).ravel()
+        at += len(records) * width
+    return records
+
+
 def gram_hashes(buffer: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes from each place."""
     n = len(buffer) - GRAM + 1
@@ -56,14 +75,14 @@ def gram_hashes(buffer: np.ndarray) -> np.ndarray:
     return mixed(h)
 
 
-def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first passage, number of passages and hash of each run of passages with one anchor."""
+def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first passage, number of passages, hash and place in the first passage of each run with one anchor."""
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     buffer = np.frombuffer(b"".join(texts), np.uint8)
     none = np.empty(0, np.int64)
     if len(buffer) < SPAN:
-        return none, none, none, np.empty(0, np.uint64)
+        return none, none, none, np.empty(0, np.uint64), none
     hashes = gram_hashes(buffer)
     # the low bits hold the place: they tell which of the strings in a passage is the least
     least = (hashes & ~np.uint64(63)) | (np.arange(len(hashes), dtype=np.uint64) & np.uint64(63))
@@ -78,11 +97,11 @@ def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         usable[begin : max(begin, end - SPAN + 1)] = True
     places = np.flatnonzero(usable)
     if not len(places):
-        return none, none, none, np.empty(0, np.uint64)
+        return none, none, none, np.empty(0, np.uint64), none
     at = places + ((least[places].astype(np.int64) - places) & 63)
     first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (places[1:] != places[:-1] + 1))))
     owner = np.searchsorted(ends, places[first], side="right")
-    return owner, places[first] - (ends - sizes)[owner], np.diff(first, append=len(places)), hashes[at[first]]
+    return owner, places[first] - (ends - sizes)[owner], np.diff(first, append=len(places)), hashes[at[first]], at[first] - places[first]
 
 
 def pieces(texts: Iterator[tuple], most: int = CHUNK_BYTES) -> Iterator[list[tuple]]:
@@ -138,14 +157,14 @@ def _anchors(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in pieces(_rows(batches)):
-            owner, start, n, hashes = anchor_runs([p[3] for p in chunk])
+            owner, start, n, hashes, at = anchor_runs([p[3] for p in chunk])
             if not len(owner):
                 continue
             docs = np.array([(p[0], p[1]) for p in chunk], DOC)
             start = start + np.array([p[2] for p in chunk])[owner]
             content, ids = docs["content"][owner], docs["id"][owner]
             order = np.lexsort((ids, content, hashes))
-            owner, start, n, hashes, content, ids = (x[order] for x in (owner, start, n, hashes, content, ids))
+            owner, start, n, hashes, at, content, ids = (x[order] for x in (owner, start, n, hashes, at, content, ids))
             new_hash = np.concatenate(([True], hashes[1:] != hashes[:-1]))
             new_content = new_hash | np.concatenate(([True], content[1:] != content[:-1]))
             group = np.cumsum(new_hash) - 1
@@ -156,18 +175,21 @@ def _anchors(buckets: int):
             bucket = ((hashes & np.uint64(0xFFFF)) % np.uint64(buckets)).astype(np.int32)
             out = []
             single = np.flatnonzero(~several & speaks)
+            single = single[np.lexsort((start[single], owner[single]))]
             records = np.zeros(len(single), ANCHOR)
             records["high"], records["low"] = hashes[single] >> np.uint64(32), hashes[single] >> np.uint64(16) & np.uint64(0xFFFF)
-            records["start"], records["doc"], records["n"] = start[single], owner[single], n[single]
-            out += [(k, SINGLE, docs.tobytes(), r.tobytes()) for k, r in _parted(bucket[single], records)]
+            for name, values in (("start", start), ("doc", owner), ("n", n), ("at", at)):
+                records[name] = values[single]
+            out += [(k, SINGLE, packed(docs), packed(r)) for k, r in _parted(bucket[single], records)]
             known = np.flatnonzero(several & new_hash)
             out += [(k, KNOWN, None, r.tobytes()) for k, r in _parted(bucket[known], hashes[known] >> np.uint64(16))]
             found = np.flatnonzero(several & speaks)
+            found = found[np.lexsort((start[found], owner[found]))]
             records = np.zeros(len(found), CAND)
-            for name, values in (("id", ids), ("content", content), ("start", start), ("n", n)):
+            for name, values in (("id", ids), ("content", content), ("start", start), ("n", n), ("at", at)):
                 records[name] = values[found]
             records["hash"] = hashes[found] >> np.uint64(16) << np.uint64(16) | bucket[found].astype(np.uint64)
-            out += [(k, FOUND, None, r.tobytes()) for k, r in _parted(_destination(records, buckets), records)]
+            out += [(k, FOUND, None, packed(r)) for k, r in _parted(_destination(records, buckets), records)]
             yield _batch(ANCHOR_ROWS, out)
 
     return run
@@ -193,7 +215,8 @@ def _repeated(buckets: int):
             several |= np.isin(h[cut], keys)
             records = records[np.repeat(several, np.diff(cut, append=len(records)))].copy()
             records["hash"] = records["hash"] << np.uint64(16) | np.uint64(current)
-            return [(k, SINGLE, None, None, None, r.tobytes()) for k, r in _parted(_destination(records, buckets), records)]
+            records = records[np.lexsort((records["start"], records["content"], records["id"]))]
+            return [(k, SINGLE, None, None, None, packed(r)) for k, r in _parted(_destination(records, buckets), records)]
 
         for bucket, kind, docs, data in _rows(batches):
             if bucket != current:
@@ -205,11 +228,12 @@ def _repeated(buckets: int):
             elif kind == KNOWN:
                 known.append(np.frombuffer(data, np.uint64))
             else:
-                table, got = np.frombuffer(docs, DOC), np.frombuffer(data, ANCHOR)
+                table, got = unpacked(docs, DOC), unpacked(data, ANCHOR)
                 records = np.zeros(len(got), CAND)
                 records["hash"] = got["high"].astype(np.uint64) << np.uint64(16) | got["low"]
                 records["id"], records["content"] = table["id"][got["doc"]], table["content"][got["doc"]]
-                records["start"], records["n"] = got["start"], got["n"]
+                for name in ("start", "n", "at"):
+                    records[name] = got[name]
                 singles.append(records)
         if out := closed():
             yield _batch(DEALT, out)
@@ -217,102 +241,123 @@ def _repeated(buckets: int):
     return run
 
 
+def _least(ids: np.ndarray, fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The number of each fragment among the different ones, the smallest id of each of these, and these."""
+    number: dict[bytes, int] = {}
+    which = np.fromiter((number.setdefault(raw, len(number)) for raw in fragments), np.int64, len(fragments))
+    least = np.full(len(number), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, ids)
+    return which, least, list(number)
+
+
+def _as_cover(records: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(records), COVER)
+    for name in COVER.names:
+        out[name] = records[name]
+    return out
+
+
 def _fragments(buckets: int):
     """Texts that meet their candidates to fragments by bucket; of equal fragments in a chunk one is sent, the later ids' are covered."""
 
-    def emitted(held: list[tuple[np.void, bytes]]) -> pa.RecordBatch:
-        least: dict[tuple[int, bytes], int] = {}
-        for r, raw in held:
-            key = (int(r["hash"]), raw)
-            least[key] = min(least.get(key, int(r["id"])), int(r["id"]))
-        mine, covered = [], []
-        for r, raw in held:
-            (mine if least[int(r["hash"]), raw] == r["id"] else covered).append((r, raw))
-        out = []
-        if covered:
-            records = np.array([r for r, _ in covered], CAND)
-            found = np.zeros(len(records), COVER)
-            for name in COVER.names:
-                found[name] = records[name]
-            out += [(k, FOUND, r.tobytes(), None) for k, r in _parted(_destination(found, buckets), found)]
-        records = np.array([r for r, _ in mine], FRAG)
-        order = np.arange(len(mine))
+    def emitted(held: list[np.ndarray], fragments: list[bytes]) -> pa.RecordBatch:
+        records = np.concatenate(held)
+        which, least, _ = _least(records["id"], fragments)
+        later = records["id"] > least[which]
+        found = _as_cover(records[later])
+        out = [(k, FOUND, packed(r), None) for k, r in _parted(_destination(found, buckets), found)]
         press = zstandard.ZstdCompressor(level=1)
-        for k, picks in _parted(records["hash"] & np.uint64(0xFFFF), order):
-            out.append((k, SINGLE, records[picks].tobytes(), press.compress(b"".join(mine[i][1] for i in picks))))
+        mine = np.flatnonzero(~later)
+        for k, picks in _parted(records["hash"][mine] & np.uint64(0xFFFF), mine):
+            out.append((k, SINGLE, packed(records[picks]), press.compress(b"".join([fragments[i] for i in picks.tolist()]))))
         return _batch(FRAGMENT_ROWS, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, wanted, held, size = None, [], [], 0
-        table = np.zeros(0, CAND)
+        current, wanted, held, fragments, size = None, [], [], [], 0
+        table, at = np.zeros(0, CAND), {}
         for dest, kind, doc, content, text, data in _rows(batches):
             if dest != current:
                 current, wanted, table = dest, [], None
             if kind == SINGLE:
-                wanted.append(np.frombuffer(data, CAND))
+                wanted.append(unpacked(data, CAND))
                 continue
             if table is None:
                 table = np.concatenate(wanted) if wanted else np.zeros(0, CAND)
-                table = table[np.lexsort((table["content"], table["id"]))]
                 wanted = []
-            begin, end = np.searchsorted(table["id"], [doc, doc + 1]) if doc < np.iinfo(np.int64).max else (np.searchsorted(table["id"], doc), len(table))
-            mine = table[begin:end]
-            mine = mine[mine["content"] == content]
-            if not len(mine):
+                table = table[np.lexsort((table["start"], table["content"], table["id"]))]
+                keys = np.stack([table["id"], table["content"], table["start"].astype(np.int64)])
+                fresh = np.concatenate((np.ones(min(len(table), 1), bool), (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+                table, keys = table[fresh], keys[:2, fresh]  # a row met twice has its runs once
+                cut = np.flatnonzero(np.concatenate((np.ones(min(len(table), 1), bool), (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
+                at = {k: span for k, *span in zip(zip(*keys[:, cut].tolist()), cut.tolist(), [*cut[1:].tolist(), len(table)])}
+            begin, end = at.get((doc, content), (0, 0))
+            if begin == end:
                 continue
+            mine = table[begin:end]
             raw = text.encode("utf-8", "surrogatepass")
-            for r in np.unique(mine):  # a row met twice has its runs once
-                held.append((r, raw[int(r["start"]) : int(r["start"]) + int(r["n"]) + SPAN - 1]))
-                size += int(r["n"]) + SPAN
+            starts = mine["start"].tolist()
+            ends = (mine["start"].astype(np.int64) + mine["n"] + SPAN - 1).tolist()
+            held.append(mine)
+            fragments += [raw[a:b] for a, b in zip(starts, ends)]
+            size += sum(ends) - sum(starts)
             if size >= CHUNK_BYTES:
-                yield emitted(held)
-                held, size = [], 0
+                yield emitted(held, fragments)
+                held, fragments, size = [], [], 0
         if held:
-            yield emitted(held)
+            yield emitted(held, fragments)
 
     return run
 
 
 def covered_runs(records: np.ndarray, fragments: list[bytes]) -> np.ndarray:
     """The runs of passages (COVER) of one bucket's fragments that start in a document with a smaller id."""
-    least: dict[bytes, int] = {}
-    for r, raw in zip(records["id"].tolist(), fragments):
-        least[raw] = min(least.get(raw, r), r)
-    first = np.fromiter((least[raw] for raw in fragments), np.int64, len(fragments))
-    later = records["id"] > first
-    out = [np.zeros(0, COVER)]
-    whole = np.zeros(int(later.sum()), COVER)
-    for name in COVER.names:
-        whole[name] = records[name][later]
-    out.append(whole)
+    which, least, different = _least(records["id"], fragments)
+    later = records["id"] > least[which]
+    out = [_as_cover(records[later])]
     # an anchor with a single fragment has no other passage to compare
-    variants: dict[int, set[bytes]] = {}
-    for h, raw in zip(records["hash"].tolist(), fragments):
-        variants.setdefault(h, set()).add(raw)
-    distinct = [raw for v in variants.values() if len(v) > 1 for raw in v]
-    if not distinct:
-        return np.concatenate(out)
+    hashes = np.zeros(len(different), np.uint64)
+    hashes[which] = records["hash"]
+    _, group, variants = np.unique(hashes, return_inverse=True, return_counts=True)
+    open_ = np.flatnonzero(variants[group] > 1)
+    # a passage has SIDE more bytes on one side of its anchor at least: a fragment that shares neither side
+    # shares no passage, unless the anchor's bytes occur in it again, when the places may differ
+    place = np.zeros(len(different), np.int64)
+    place[which] = records["at"]
+    contexts = []
+    for i, at in zip(open_.tolist(), place[open_].tolist()):
+        raw = different[i]
+        gram = raw[at : at + GRAM]
+        again = raw.find(gram) != at or raw.find(gram, at + 1) >= 0
+        contexts.append((again, raw[at - SIDE : at + GRAM] if at >= SIDE else None, raw[at : at + GRAM + SIDE] if at + GRAM + SIDE <= len(raw) else None))
+    left, right = (Counter(c[k] for c in contexts if c[k] is not None) for k in (1, 2))
+    open_ = open_[np.array([again or left[a] > 1 or right[b] > 1 for again, a, b in contexts], bool)]
+    if not len(open_):
+        return out[0]
     # bytes are shifted by one code so that zero is free for the end mark: 0xFF isn't in UTF-8
     shift = bytes([*range(1, 256), 255])
-    _, common, owner, start = collection_bwt([raw.translate(shift) for raw in distinct])
-    ids = np.array([least[raw] for raw in distinct], np.int64)
+    strings = [different[i].translate(shift) for i in open_.tolist()]
+    _, common, owner, start = collection_bwt(strings)
+    ids = least[open_]
     cut = np.flatnonzero(common < SPAN)
     lowest = np.repeat(np.minimum.reduceat(ids[owner], cut), np.diff(cut, append=len(owner)))
-    sizes = np.array([len(raw) for raw in distinct])
+    sizes = np.array([len(raw) for raw in strings])
     hit = (lowest < ids[owner]) & (sizes[owner] - start >= SPAN)
-    flags: dict[bytes, np.ndarray] = {}
-    for i, places in _parted(owner[hit], start[hit]):
-        flags[distinct[i]] = np.sort(places)
-    for k in np.flatnonzero(~later):
-        places = flags.get(fragments[k])
-        if places is not None:
-            begins = np.flatnonzero(np.concatenate(([True], np.diff(places) > 1)))
-            runs = np.zeros(len(begins), COVER)
-            runs["id"], runs["content"] = records["id"][k], records["content"][k]
-            runs["start"] = records["start"][k] + places[begins]
-            runs["n"] = np.diff(begins, append=len(places))
-            out.append(runs)
-    return np.concatenate(out)
+    # covered places by fragment, as runs
+    owner, start = owner[hit], start[hit]
+    order = np.lexsort((start, owner))
+    owner, start = owner[order], start[order]
+    fresh = np.flatnonzero(np.concatenate((np.ones(min(len(owner), 1), bool), (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1))))
+    run_owner, run_start, run_n = open_[owner[fresh]], start[fresh], np.diff(fresh, append=len(owner))
+    # every row of the smallest id has its fragment's runs
+    mine = np.flatnonzero(~later)
+    mine = mine[np.argsort(which[mine], kind="stable")]
+    first, last = (np.searchsorted(which[mine], run_owner, side=side) for side in ("left", "right"))
+    times = last - first
+    picks = mine[np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+    runs = _as_cover(records[picks])
+    runs["start"] += np.repeat(run_start, times).astype(np.uint32)
+    runs["n"] = np.repeat(run_n, times)
+    return np.concatenate([*out, runs])
 
 
 def _covered(buckets: int):
@@ -327,7 +372,8 @@ def _covered(buckets: int):
             found = covered_runs(np.concatenate(records), fragments)
             records.clear()
             fragments.clear()
-            return [(k, r.tobytes()) for k, r in _parted(_destination(found, buckets), found)]
+            found = found[np.lexsort((found["start"], found["id"]))]
+            return [(k, packed(r)) for k, r in _parted(_destination(found, buckets), found)]
 
         for bucket, kind, data, pressed in _rows(batches):
             if bucket != current:
@@ -337,7 +383,7 @@ def _covered(buckets: int):
             if kind == FOUND:
                 yield _batch(COVER_ROWS, [(bucket, data)])
                 continue
-            got = np.frombuffer(data, FRAG)
+            got = unpacked(data, CAND)
             raw = zstandard.decompress(pressed)
             ends = np.cumsum(got["n"].astype(np.int64) + SPAN - 1)
             records.append(got)
@@ -374,7 +420,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if out := closed():
                 yield _batch(SPANS, out)
             current = dest
-        held.append(np.frombuffer(data, COVER))
+        held.append(unpacked(data, COVER))
     if out := closed():
         yield _batch(SPANS, out)
 

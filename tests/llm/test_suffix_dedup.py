@@ -86,7 +86,7 @@ def test_null_ids_repeats_and_empty(spark):
 def test_every_passage_has_one_anchor():
     rng = np.random.default_rng(2)
     texts = [bytes(rng.integers(97, 101, n).astype(np.uint8)) for n in (49, 50, 51, 400, 0, 3000)]
-    owner, start, n, hashes = suffix_dedup.anchor_runs(texts)
+    owner, start, n, hashes, _ = suffix_dedup.anchor_runs(texts)
     seen = {}
     for o, s, k, h in zip(owner, start, n, hashes):
         for p in range(s, s + k):
