@@ -52,11 +52,11 @@ def _measure_batch(batch: pa.RecordBatch) -> list[pa.Array]:
     return [pa.array(list(c), pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5
 
 
-def text_measures(df: DataFrame, text_col: str = "text") -> DataFrame:
+def text_measures(df: DataFrame, text_col: str = "text", carry_text: bool = True) -> DataFrame:
     """df with the five measures and base_failed (few words, or mostly repeated ones)."""
     few = F.col("n_words") < 50
     mostly_repeated = 100 * F.col("n_repeat_words") > 50 * F.col("n_words")
-    return add_columns(df, _measure_batch, MEASURES, [text_col]).withColumn("base_failed", few | mostly_repeated)
+    return add_columns(df, _measure_batch, MEASURES, [text_col], carry=carry_text).withColumn("base_failed", few | mostly_repeated)
 
 
 def beta_prior(hosts: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def beta_prior(hosts: DataFrame) -> DataFrame:
     return sums.select((share * strength).alias("alpha"), ((1 - share) * strength).alias("beta"))
 
 
-def host_rules(df: DataFrame, host_col: str = "source", text_col: str = "text", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def host_rules(df: DataFrame, host_col: str = "source", text_col: str = "text", max_rate: float = MAX_HOST_RATE, carry_text: bool = True) -> DataFrame:
     """df with the measures, base_failed, host_rate (shrunk failure rate of the host) and kept.
 
     A NULL host is a host of its own. NULL text has no words, so it fails. An empty table gives no
@@ -89,7 +89,7 @@ def host_rules(df: DataFrame, host_col: str = "source", text_col: str = "text",
     plain = without(df, ["host_rate", "kept", "base_failed", "__host", "__salt", "__n"])
     host = F.coalesce(F.concat(F.lit("="), F.col(f"`{host_col}`")), F.lit(""))  # no real host is empty then
     salt = salt_of("n_words", "word_chars", "n_symbols")
-    rows = settled(text_measures(plain, text_col).withColumn("__host", host).withColumn("__salt", salt))
+    rows = settled(text_measures(plain, text_col, carry_text).withColumn("__host", host).withColumn("__salt", salt))
     failed = F.sum(F.col("base_failed").cast("bigint"))
     hosts = rows.groupBy("__host").agg(F.count("*").alias("n"), failed.alias("failed"))
     prior = F.broadcast(beta_prior(hosts))  # one row

@@ -470,25 +470,28 @@ def _cut(batch: pa.RecordBatch) -> list[pa.Array]:
     return [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())]
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry_text: bool = True, as_text: bool = False) -> DataFrame:
     """df with n_bytes, n_removed, spans (removed byte ranges, in order) and kept_bytes (what is left).
 
     NULL text is empty. Rows of equal id don't remove each other's passages; those that repeat a text
     too get equal answers. Rows without an id stay whole and remove nothing. No row of an empty table.
-    Columns named like a result are replaced. What is left may cut a character in two.
+    Columns named like a result are replaced. What is left may cut a character in two; as_text gives
+    kept_text instead, without such halves.
     """
-    own = without(df, ["n_bytes", "n_removed", "spans", "kept_bytes", "__content", "__key", "__maybe", "__id", "__text", "whole"])
-    tagged = own.withColumn("__id", F.col(f"`{id_col}`").cast("bigint")).withColumn("__text", text_of(text_col)).withColumn("__content", F.xxhash64("__text"))
-    found = settled(repeated_spans(tagged.filter("__id IS NOT NULL").select(F.col("__id").alias("id"), F.col("__content").alias("content"), F.col("__text").alias("text"))))
+    own = without(df, ["n_bytes", "n_removed", "spans", "kept_bytes", "kept_text", "__content", "__maybe", "__id", "__whole", "__spans"])
+    tagged = own.withColumn("__id", F.col(f"`{id_col}`").cast("bigint")).withColumn("__content", F.xxhash64(text_of(text_col)))
+    found = settled(repeated_spans(tagged.filter("__id IS NOT NULL").select(F.col("__id").alias("id"), F.col("__content").alias("content"), text_of(text_col).alias("text"))))
     key = lambda a, b: F.xxhash64(a, b)
     told = maybe_in(tagged, key("__id", "__content"), filter_of(found.select(key("id", "content").alias("k")), "k"), "__maybe")
-    plain = told.filter("NOT __maybe").drop("__maybe").withColumn("whole", F.lit(None).cast("bigint")).withColumn("spans", F.lit(None).cast("binary"))
-    side = found.select(F.col("id").alias("__id"), F.col("content").alias("__content"), "whole", "spans")
-    cut = told.filter("__maybe").drop("__maybe").join(side, ["__id", "__content"], "left").select(*plain.columns)
-    rows = plain.unionByName(cut).withColumnRenamed("spans", "__spans").withColumnRenamed("whole", "__whole")
-    return add_columns(rows, _cut, OUT, ["__text", "__whole", "__spans"], carry=False).drop("__id", "__content")
+    plain = told.filter("NOT __maybe").drop("__maybe").withColumn("__whole", F.lit(None).cast("bigint")).withColumn("__spans", F.lit(None).cast("binary"))
+    side = found.select(F.col("id").alias("__id"), F.col("content").alias("__content"), F.col("whole").alias("__whole"), F.col("spans").alias("__spans"))
+    cut = told.filter("__maybe").drop("__maybe").join(side, ["__id", "__content"], "left").select(*[F.col(f"`{c}`") for c in plain.columns])
+    rows = plain.unionByName(cut).drop("__id", "__content")
+    cut_text = lambda batch: (lambda c: [*c[:3], pa.array([b.decode("utf-8", "ignore") for b in c[3].to_pylist()], pa.string())])(_cut(batch))
+    fn, out = (cut_text, OUT.replace("kept_bytes binary", "kept_text string")) if as_text else (_cut, OUT)
+    return add_columns(rows, fn, out, [text_col, "__whole", "__spans"], carry=carry_text).drop("__whole", "__spans")
 
 
 def digest(df: DataFrame) -> DataFrame:
-    rows = remove_repeats(df.select("doc_id", "text"))
+    rows = remove_repeats(df.select("doc_id", "text"), carry_text=False)
     return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
