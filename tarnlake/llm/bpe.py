@@ -13,7 +13,6 @@ import heapq
 import json
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -23,15 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import add_columns
+from .common import add_columns, resident
 
 WORD_FILE = "word_bpe_49k.json"
 #: Chunks remembered by a Python worker: as many met lately, and as many met before.
-REMEMBERED = 400_000
+REMEMBERED = 130_000
 #: Longer chunks (bytes) are merged with a heap.
 LONG = 1000
 #: Texts encoded together.
-BATCH_ROWS = 1024
+BATCH_ROWS = 768
 NONE = np.iinfo(np.int32).max
 EMPTY = np.uint32(0xFFFFFFFF)
 MULTIPLIER, SHIFT = np.uint32(2654435769), np.uint32(12)
@@ -233,9 +232,8 @@ class WordBPE:
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=4)
 def tokenizer(path: str) -> WordBPE:
-    return WordBPE(path)
+    return resident("bpe", path, lambda: WordBPE(path))
 
 
 def encode_decode(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:

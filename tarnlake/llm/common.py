@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -16,6 +19,37 @@ SLICE_ROWS = 256
 SALTS = 64
 
 
+_resident: dict = {}
+
+
+def resident(name: str, key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from batch to batch: of the last operator only, as workers outlive operators."""
+    if (name, key) not in _resident:
+        _resident.clear()
+        _resident[name, key] = make()
+    return _resident[name, key]
+
+
+def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str, keeps: bool = False) -> DataFrame:
+    """df.mapInArrow(fn, schema), after which each worker hands freed memory back to the machine.
+
+    Python workers outlive operators, and what their allocators hold would add to the next one's need.
+    keeps=False also drops what resident() holds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _resident.clear()
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library can
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(run, schema)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -32,6 +66,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let shuffle files of plans that are done with go now: they stay until the driver's JVM collects the plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_of(column: str) -> Column:
     """A text column with NULL as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -68,7 +108,7 @@ def add_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], a
             out = fn(pa.RecordBatch.from_arrays(part.columns[n:], names=list(reads)))
             yield pa.RecordBatch.from_arrays([*part.columns[:n], *out], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema, keeps=True)
 
 
 def salt_of(*columns: str, salts: int = SALTS) -> Column:

@@ -8,15 +8,13 @@ rejects the choice.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import add_columns, without
+from .common import add_columns, resident, without
 
 #: The training sample: documents of each language, and bytes taken of each. Bounds what the driver sees.
 SAMPLE_DOCS, SAMPLE_BYTES = 128, 3000
@@ -54,7 +52,6 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return [(lang, b"\n".join(t)[:size]) for lang, t in texts.items()]
 
 
-@lru_cache(maxsize=2)
 def compressors(dictionaries: tuple[tuple[str, bytes], ...]) -> list[tuple[str, zstandard.ZstdCompressor]]:
     made = []
     for lang, raw in dictionaries:
@@ -84,7 +81,7 @@ def predict(df: DataFrame, dictionaries: list[tuple[str, bytes]], text_col: str
     models = tuple(dictionaries)  # a few hundred kB, sent with the function
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        made = compressors(models)
+        made = resident("langid", models, lambda: compressors(models))
         got = [identify(t, made) for t in batch.column(0).to_pylist()]
         langs, scores, margins = (list(c) for c in zip(*got)) if got else ([], [], [])
         rejected = [lang == UNKNOWN or m < min_margin for lang, m in zip(langs, margins)]

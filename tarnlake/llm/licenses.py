@@ -10,13 +10,12 @@ from __future__ import annotations
 
 import re
 from difflib import SequenceMatcher
-from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import add_columns
+from .common import add_columns, resident
 
 #: Fixed wording of short notices: license and notice.
 NOTICES: tuple[tuple[str, str], ...] = (
@@ -108,9 +107,8 @@ class Notices:
         return n, out
 
 
-@lru_cache(maxsize=4)
 def notices(of: tuple[tuple[str, str], ...]) -> Notices:
-    return Notices(of)
+    return resident("licenses", of, lambda: Notices(of))
 
 
 def scan_licenses(df: DataFrame, text_col: str = "text", of: tuple[tuple[str, str], ...] = NOTICES, carry_text: bool = True) -> DataFrame:

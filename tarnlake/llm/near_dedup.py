@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, drop_ids, filter_of, grouped_back, maybe_in, repeated_filter, salt_of, settled, without
+from .common import add_columns, drop_ids, filter_of, grouped_back, mapped, maybe_in, release, repeated_filter, resident, salt_of, settled, without
 from .components import star_components
 
 SHINGLE_WORDS = 5
@@ -39,7 +39,7 @@ MARGIN = 0.18
 #: Members of a bucket that one task compares with each other at a time.
 BLOCK = 1000
 #: Word hashes a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def splitmix(n: int, seed: int) -> np.ndarray:
@@ -64,17 +64,15 @@ class WordHashes(dict):
         return got
 
 
-_hashes = WordHashes()
-
-
 def shingles(text: str | None, k: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a whole text's k-word shingles; of a shorter text, of all its words."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: A-Z only
     if not words:
         return np.empty(0, np.uint64)
-    if len(_hashes) > REMEMBERED:
-        _hashes.clear()
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    hashes = resident("words", None, WordHashes)
+    if len(hashes) > REMEMBERED:
+        hashes.clear()
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     width = min(k, len(h))
     factors = splitmix(width, 100 + width) | np.uint64(1)
     n = len(h) - width + 1
@@ -145,7 +143,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * both >= PERCENT * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, "u bigint, v bigint")
+    return mapped(rows, run, "u bigint, v bigint")
 
 
 def _cross_links(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -182,8 +180,12 @@ def linked_components(reps: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     wanted = members.select(F.xxhash64("id").alias("k")).distinct()
     near = maybe_in(texts, F.xxhash64("id"), filter_of(wanted, "k"), "__maybe").filter("__maybe").select("id", "text")
     sets = settled(full_sets(near, "text", k))
+    del keys, shared, salted, ends, wanted, near
+    release(reps.sparkSession)
     tested = members.filter("id != hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct()
-    found = star_components(confirmed(tested, sets))
+    found = settled(star_components(confirmed(tested, sets)))
+    del tested
+    release(reps.sparkSession)
     labelled = members.filter("id != hub").join(found, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("component_id"))
     # all pairs with the hub are tested; open are buckets whose other members lie in two components
     per_key = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("component_id").alias("a"), F.max("component_id").alias("b")).filter("a != b").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))

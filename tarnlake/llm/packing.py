@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from .bpe import BATCH_ROWS, WORD_FILE, tokenizer
-from .common import slices
+from .common import mapped, slices
 
 WINDOW = 4096
 END_ID = 2
 #: Tokens a task holds before it packs them (4 bytes each).
-POOL_TOKENS = 6_000_000
+POOL_TOKENS = 4_000_000
 
 
 class Capacities:
@@ -184,7 +184,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
         if out:
             yield emitted()
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema, keeps=True)
 
 
 def digest(df: DataFrame) -> DataFrame:

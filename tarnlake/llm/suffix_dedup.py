@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import collection_bwt
-from .common import add_columns, filter_of, grouped_back, maybe_in, salt_of, settled, slices, text_of, without
+from .common import add_columns, filter_of, grouped_back, mapped, maybe_in, release, salt_of, settled, slices, text_of, without
 from .near_dedup import mixed
 
 #: Bytes of a passage, of an anchor, and anchors in a passage.
@@ -34,9 +34,12 @@ SPAN, GRAM = 50, 16
 WIDTH = SPAN - GRAM + 1
 SIDE = (SPAN - GRAM + 1) // 2
 #: Bytes and documents that a task looks at together.
-CHUNK_BYTES, CHUNK_DOCS = 4_000_000, 1000
+CHUNK_BYTES, CHUNK_DOCS = 2_000_000, 1000
 #: Buckets for each shuffle partition.
-BUCKETS_PER_PARTITION = 1
+BUCKETS_PER_PARTITION = 2
+#: Fragments looked at together, and of these sorted together, unless one anchor has more.
+LOOK, COLLECTION = 40_000, 15_000
+SHIFT = bytes([*range(1, 256), 255])
 
 #: Records that travel between tasks.
 CAND = np.dtype([("id", "<i8"), ("content", "<i8"), ("hash", "<u8"), ("start", "<u4"), ("n", "u1"), ("at", "u1")])
@@ -152,6 +155,14 @@ SPANS = "id bigint, content bigint, spans binary"
 SINGLE, KNOWN, FOUND = 0, 1, 2
 
 
+def _own_docs(docs: np.ndarray, records: np.ndarray) -> tuple[bytes, bytes]:
+    """The documents that records refer to, and the records with numbers into these."""
+    used, numbers = np.unique(records["doc"], return_inverse=True)
+    records = records.copy()
+    records["doc"] = numbers
+    return packed(docs[used]), packed(records)
+
+
 def _anchors(buckets: int):
     """Documents to anchors by bucket; those repeated within the chunk are found at once and sent on as one."""
 
@@ -180,7 +191,7 @@ def _anchors(buckets: int):
             records["high"], records["low"] = hashes[single] >> np.uint64(32), hashes[single] >> np.uint64(16) & np.uint64(0xFFFF)
             for name, values in (("start", start), ("doc", owner), ("n", n), ("at", at)):
                 records[name] = values[single]
-            out += [(k, SINGLE, packed(docs), packed(r)) for k, r in _parted(bucket[single], records)]
+            out += [(k, SINGLE, *_own_docs(docs, r)) for k, r in _parted(bucket[single], records)]
             known = np.flatnonzero(several & new_hash)
             out += [(k, KNOWN, None, r.tobytes()) for k, r in _parted(bucket[known], hashes[known] >> np.uint64(16))]
             found = np.flatnonzero(several & speaks)
@@ -309,6 +320,30 @@ def _fragments(buckets: int):
     return run
 
 
+def _whole_groups(keys: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of stretches of sorted keys, each about `most` long, that part no equal keys."""
+    cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+    edges = [0, *[b for a, b in zip([0, *cuts.tolist()], cuts.tolist()) if a // most != b // most], len(keys)]
+    return ((a, b) for a, b in zip(edges, edges[1:]) if a < b)
+
+
+def _earlier(chosen: np.ndarray, different: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of passages (fragment, start, number) that a chosen fragment of a smaller id has too, by the transform of the chosen."""
+    # bytes are shifted by one code so that zero is free for the end mark: 0xFF isn't in UTF-8
+    strings = [different[i].translate(SHIFT) for i in chosen.tolist()]
+    _, common, owner, start = collection_bwt(strings)
+    ids = least[chosen]
+    cut = np.flatnonzero(common < SPAN)
+    lowest = np.repeat(np.minimum.reduceat(ids[owner], cut), np.diff(cut, append=len(owner)))
+    sizes = np.array([len(raw) for raw in strings])
+    hit = (lowest < ids[owner]) & (sizes[owner] - start >= SPAN)
+    owner, start = owner[hit], start[hit]
+    order = np.lexsort((start, owner))
+    owner, start = owner[order], start[order]
+    fresh = np.flatnonzero(np.concatenate((np.ones(min(len(owner), 1), bool), (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1))))
+    return chosen[owner[fresh]], start[fresh], np.diff(fresh, append=len(owner))
+
+
 def covered_runs(records: np.ndarray, fragments: list[bytes]) -> np.ndarray:
     """The runs of passages (COVER) of one bucket's fragments that start in a document with a smaller id."""
     which, least, different = _least(records["id"], fragments)
@@ -333,21 +368,12 @@ def covered_runs(records: np.ndarray, fragments: list[bytes]) -> np.ndarray:
     open_ = open_[np.array([again or left[a] > 1 or right[b] > 1 for again, a, b in contexts], bool)]
     if not len(open_):
         return out[0]
-    # bytes are shifted by one code so that zero is free for the end mark: 0xFF isn't in UTF-8
-    shift = bytes([*range(1, 256), 255])
-    strings = [different[i].translate(shift) for i in open_.tolist()]
-    _, common, owner, start = collection_bwt(strings)
-    ids = least[open_]
-    cut = np.flatnonzero(common < SPAN)
-    lowest = np.repeat(np.minimum.reduceat(ids[owner], cut), np.diff(cut, append=len(owner)))
-    sizes = np.array([len(raw) for raw in strings])
-    hit = (lowest < ids[owner]) & (sizes[owner] - start >= SPAN)
-    # covered places by fragment, as runs
-    owner, start = owner[hit], start[hit]
-    order = np.lexsort((start, owner))
-    owner, start = owner[order], start[order]
-    fresh = np.flatnonzero(np.concatenate((np.ones(min(len(owner), 1), bool), (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1))))
-    run_owner, run_start, run_n = open_[owner[fresh]], start[fresh], np.diff(fresh, append=len(owner))
+    # all fragments of an anchor go into one collection
+    open_ = open_[np.argsort(group[open_], kind="stable")]
+    parts = [_earlier(open_[a:b], different, least) for a, b in _whole_groups(group[open_], COLLECTION)]
+    run_owner, run_start, run_n = (np.concatenate(x) for x in zip(*parts))
+    by_owner = np.argsort(run_owner, kind="stable")
+    run_owner, run_start, run_n = run_owner[by_owner], run_start[by_owner], run_n[by_owner]
     # every row of the smallest id has its fragment's runs
     mine = np.flatnonzero(~later)
     mine = mine[np.argsort(which[mine], kind="stable")]
@@ -369,9 +395,13 @@ def _covered(buckets: int):
         def closed() -> list[tuple]:
             if not records:
                 return []
-            found = covered_runs(np.concatenate(records), fragments)
+            every = np.concatenate(records)
             records.clear()
+            order = np.argsort(every["hash"], kind="stable")
+            every = every[order]
+            raws = [fragments[i] for i in order.tolist()]
             fragments.clear()
+            found = np.concatenate([covered_runs(every[a:b], raws[a:b]) for a, b in _whole_groups(every["hash"], LOOK)])
             found = found[np.lexsort((found["start"], found["id"]))]
             return [(k, packed(r)) for k, r in _parted(_destination(found, buckets), found)]
 
@@ -425,28 +455,34 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(SPANS, out)
 
 
-def repeated_spans(rows: DataFrame) -> DataFrame:
-    """id, content and spans of every text of which something is to be removed; rows: id, content, text (no NULLs)."""
-    buckets = BUCKETS_PER_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(buckets, 1 << 16)
-    long_ = rows.filter(F.octet_length("text") >= SPAN)
-    told = grouped_back(
-        long_.select("id", "content", F.octet_length("text").alias("size"), F.md5("text").alias("digest")).withColumn("__salt", salt_of("id")),
-        ["digest"], "__salt", [F.min("id").alias("__m")], [F.min("__m").alias("first")],
-    )
-    copies = told.filter("id > first").select("id", "content", "size").distinct()
-    anchors = long_.mapInArrow(_anchors(buckets), ANCHOR_ROWS)
-    candidates = anchors.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated(buckets), DEALT)
+def _passage_spans(long_: DataFrame) -> DataFrame:
+    """id, content and spans of the texts that have passages of documents with smaller ids, in one plan."""
+    buckets = min(BUCKETS_PER_PARTITION * int(long_.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
+    anchors = mapped(long_, _anchors(buckets), ANCHOR_ROWS)
+    candidates = mapped(anchors.repartition("bucket").sortWithinPartitions("bucket"), _repeated(buckets), DEALT)
     dest = F.pmod(F.col("id").bitwiseXOR(F.col("content")).bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(buckets)).cast("int")
     texts = long_.select(dest.alias("dest"), F.lit(KNOWN).alias("kind"), "id", "content", "text", F.lit(None).cast("binary").alias("data"))
     met = candidates.unionByName(texts).repartition("dest").sortWithinPartitions("dest", "kind")
-    fragments = met.mapInArrow(_fragments(buckets), FRAGMENT_ROWS)
-    covers = fragments.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_covered(buckets), COVER_ROWS)
-    partial = settled(covers.repartition("dest").sortWithinPartitions("dest").mapInArrow(_spans, SPANS))
-    copies = settled(copies)
-    whole = copies.select("id", "content", F.col("size").cast("bigint").alias("whole"))
-    both = partial.join(whole, ["id", "content"], "full_outer")
-    return both.select("id", "content", "whole", "spans")
+    fragments = mapped(met, _fragments(buckets), FRAGMENT_ROWS)
+    covers = mapped(fragments.repartition("bucket").sortWithinPartitions("bucket"), _covered(buckets), COVER_ROWS)
+    return mapped(covers.repartition("dest").sortWithinPartitions("dest"), _spans, SPANS)
+
+
+def _copies(long_: DataFrame) -> DataFrame:
+    """id, content and size of the texts that a document with a smaller id has whole."""
+    told = grouped_back(
+        long_.select("id", "content", F.octet_length("text").cast("bigint").alias("whole"), F.md5("text").alias("digest")).withColumn("__salt", salt_of("id")),
+        ["digest"], "__salt", [F.min("id").alias("__m")], [F.min("__m").alias("first")],
+    )
+    return told.filter("id > first").select("id", "content", "whole").distinct()
+
+
+def repeated_spans(rows: DataFrame) -> DataFrame:
+    """id, content, whole and spans of every text of which something is to be removed; rows: id, content, text (no NULLs)."""
+    long_ = rows.filter(F.octet_length("text") >= SPAN)
+    spans = settled(_passage_spans(long_))
+    release(rows.sparkSession)
+    return spans.join(_copies(long_), ["id", "content"], "full_outer").select("id", "content", "whole", "spans")
 
 
 OUT = "n_bytes bigint, n_removed bigint, spans array<struct<begin:bigint,end:bigint>>, kept_bytes binary"
@@ -481,6 +517,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = without(df, ["n_bytes", "n_removed", "spans", "kept_bytes", "kept_text", "__content", "__maybe", "__id", "__whole", "__spans"])
     tagged = own.withColumn("__id", F.col(f"`{id_col}`").cast("bigint")).withColumn("__content", F.xxhash64(text_of(text_col)))
     found = settled(repeated_spans(tagged.filter("__id IS NOT NULL").select(F.col("__id").alias("id"), F.col("__content").alias("content"), text_of(text_col).alias("text"))))
+    release(df.sparkSession)
     key = lambda a, b: F.xxhash64(a, b)
     told = maybe_in(tagged, key("__id", "__content"), filter_of(found.select(key("id", "content").alias("k")), "k"), "__maybe")
     plain = told.filter("NOT __maybe").drop("__maybe").withColumn("__whole", F.lit(None).cast("bigint")).withColumn("__spans", F.lit(None).cast("binary"))
