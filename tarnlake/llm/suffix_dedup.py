@@ -44,14 +44,14 @@ SHIFT = bytes([*range(1, 256), 255])
 #: Records that travel between tasks.
 CAND = np.dtype([("id", "<i8"), ("content", "<i8"), ("hash", "<u8"), ("start", "<u4"), ("n", "u1"), ("at", "u1")])
 COVER = np.dtype([("id", "<i8"), ("content", "<i8"), ("start", "<u4"), ("n", "u1")])
-ANCHOR = np.dtype([("high", "<u4"), ("low", "<u2"), ("start", "<u4"), ("doc", "<u2"), ("n", "u1"), ("at", "u1")])
+ANCHOR = np.dtype([("high", "<u4"), ("low", "u1"), ("start", "<u4"), ("doc", "<u2"), ("n", "u1"), ("at", "u1")])
 DOC = np.dtype([("id", "<i8"), ("content", "<i8")])
 
 
 def packed(records: np.ndarray) -> bytes:
     """Records as compressed bytes, field by field and byte by byte: most of these repeat from record to record."""
     fields = [np.ascontiguousarray(records[name]).view(np.uint8).reshape(len(records), -1).T.tobytes() for name in records.dtype.names]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(fields))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(fields))
 
 
 def unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
@@ -188,18 +188,18 @@ def _anchors(buckets: int):
             single = np.flatnonzero(~several & speaks)
             single = single[np.lexsort((start[single], owner[single]))]
             records = np.zeros(len(single), ANCHOR)
-            records["high"], records["low"] = hashes[single] >> np.uint64(32), hashes[single] >> np.uint64(16) & np.uint64(0xFFFF)
+            records["high"], records["low"] = hashes[single] >> np.uint64(32), hashes[single] >> np.uint64(24) & np.uint64(0xFF)
             for name, values in (("start", start), ("doc", owner), ("n", n), ("at", at)):
                 records[name] = values[single]
             out += [(k, SINGLE, *_own_docs(docs, r)) for k, r in _parted(bucket[single], records)]
             known = np.flatnonzero(several & new_hash)
-            out += [(k, KNOWN, None, r.tobytes()) for k, r in _parted(bucket[known], hashes[known] >> np.uint64(16))]
+            out += [(k, KNOWN, None, r.tobytes()) for k, r in _parted(bucket[known], hashes[known] >> np.uint64(24))]
             found = np.flatnonzero(several & speaks)
             found = found[np.lexsort((start[found], owner[found]))]
             records = np.zeros(len(found), CAND)
             for name, values in (("id", ids), ("content", content), ("start", start), ("n", n), ("at", at)):
                 records[name] = values[found]
-            records["hash"] = hashes[found] >> np.uint64(16) << np.uint64(16) | bucket[found].astype(np.uint64)
+            records["hash"] = hashes[found] >> np.uint64(24) << np.uint64(16) | bucket[found].astype(np.uint64)
             out += [(k, FOUND, None, packed(r)) for k, r in _parted(_destination(records, buckets), records)]
             yield _batch(ANCHOR_ROWS, out)
 
@@ -241,7 +241,7 @@ def _repeated(buckets: int):
             else:
                 table, got = unpacked(docs, DOC), unpacked(data, ANCHOR)
                 records = np.zeros(len(got), CAND)
-                records["hash"] = got["high"].astype(np.uint64) << np.uint64(16) | got["low"]
+                records["hash"] = got["high"].astype(np.uint64) << np.uint64(8) | got["low"]
                 records["id"], records["content"] = table["id"][got["doc"]], table["content"][got["doc"]]
                 for name in ("start", "n", "at"):
                     records[name] = got[name]
@@ -277,7 +277,7 @@ def _fragments(buckets: int):
         later = records["id"] > least[which]
         found = _as_cover(records[later])
         out = [(k, FOUND, packed(r), None) for k, r in _parted(_destination(found, buckets), found)]
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=6)
         mine = np.flatnonzero(~later)
         for k, picks in _parted(records["hash"][mine] & np.uint64(0xFFFF), mine):
             out.append((k, SINGLE, packed(records[picks]), press.compress(b"".join([fragments[i] for i in picks.tolist()]))))
