@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, grouped_back, salt_of, settled, without
+from .common import SALTS, add_columns, grouped_back, settled, without
 
 SYMBOLS = "#*$%&|<>"
 #: A host goes if its shrunk failure rate is above this.
@@ -88,7 +88,8 @@ def host_rules(df: DataFrame, host_col: str = "source", text_col: str = "text",
     """
     plain = without(df, ["host_rate", "kept", "base_failed", "__host", "__salt", "__n"])
     host = F.coalesce(F.concat(F.lit("="), F.col(f"`{host_col}`")), F.lit(""))  # no real host is empty then
-    salt = salt_of("n_words", "word_chars", "n_symbols")
+    # by row and not by content, so that copies of one text are dealt out too; settled() fixes the numbers
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
     rows = settled(text_measures(plain, text_col, carry_text).withColumn("__host", host).withColumn("__salt", salt))
     failed = F.sum(F.col("base_failed").cast("bigint"))
     hosts = rows.groupBy("__host").agg(F.count("*").alias("n"), failed.alias("failed"))
