@@ -10,7 +10,7 @@ lie in several components are searched again, exactly: an inverted list of their
 overlap of each member outside the largest component with all the others at once. A member of which
 over a fifth of the shingles are in no other set can't be linked and is passed over. Links inside a
 component can't change it and aren't looked for; of several links between a member and a component
-one is returned. Nothing is capped; a large bucket is dealt out as pairs of blocks.
+one is returned. Nothing is capped; a bucket of many or long members is dealt out as pairs of blocks.
 
 With 32 bands of 4 minima a pair of similarity 0.8 shares no bucket once in 20 million times; an
 estimate from 128 minima is more than MARGIN too low once in a million.
@@ -36,8 +36,8 @@ PERCENT = 80
 BANDS, ROWS = 32, 4
 #: A signature may understate the similarity by this much.
 MARGIN = 0.18
-#: Members of a bucket that one task compares with each other at a time.
-BLOCK = 1000
+#: Members of a bucket, and shingles of these, that one task compares with those of another block at a time.
+BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
 #: Word hashes a worker remembers.
 REMEMBERED = 200_000
 
@@ -171,12 +171,12 @@ def _cross_links(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def linked_components(reps: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """id and component_id of every class with a link; reps: id, bands; texts: id, text of at least these."""
-    keys = reps.select("id", F.explode("bands").alias("key"))
-    shared = maybe_in(keys, F.col("key"), repeated_filter(keys, "key"), "__maybe").filter("__maybe").select("id", "key")
+    """id and component_id of every class with a link; reps: id, n_shingles, bands; texts: id, text of at least these."""
+    keys = reps.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
+    shared = maybe_in(keys, F.col("key"), repeated_filter(keys, "key"), "__maybe").filter("__maybe").select("id", "size", "key")
     salted = shared.withColumn("__salt", salt_of("id"))
     ends = grouped_back(salted, ["key"], "__salt", [F.min("id").alias("__lo"), F.max("id").alias("__hi")], [F.min("__lo").alias("hub"), F.max("__hi").alias("last")])
-    members = settled(ends.filter("hub != last").select("key", "id", "hub").distinct())
+    members = settled(ends.filter("hub != last").select("key", "id", "hub", "size").distinct())
     wanted = members.select(F.xxhash64("id").alias("k")).distinct()
     near = maybe_in(texts, F.xxhash64("id"), filter_of(wanted, "k"), "__maybe").filter("__maybe").select("id", "text")
     sets = settled(full_sets(near, "text", k))
@@ -186,9 +186,10 @@ def linked_components(reps: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     found = settled(star_components(confirmed(tested, sets)))
     del tested
     release(reps.sparkSession)
-    labelled = members.filter("id != hub").join(found, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("component_id"))
+    labelled = members.filter("id != hub").join(found, "id", "left").select("key", "id", "size", F.coalesce("component_id", "id").alias("component_id"))
     # all pairs with the hub are tested; open are buckets whose other members lie in two components
-    per_key = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("component_id").alias("a"), F.max("component_id").alias("b")).filter("a != b").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    per_key = labelled.groupBy("key").agg(blocks.alias("blocks"), F.min("component_id").alias("a"), F.max("component_id").alias("b")).filter("a != b").select("key", "blocks")
     open_ = labelled.join(per_key, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component_id")
     full = dealt.join(sets.select("id", "hashes"), "id").groupBy("key", "i", "j")
@@ -213,7 +214,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classed = settled(classed.select("id", "n_shingles", "rep"))
     # the rows of representatives, found by id: a class's smallest id is one of its own
     first = some.groupBy("digest").agg(F.min("id").alias("id"))
-    reps = some.select("id", "digest", "bands").join(first, ["id", "digest"], "left_semi").select("id", "bands")
+    reps = some.select("id", "n_shingles", "digest", "bands").join(first, ["id", "digest"], "left_semi").select("id", "n_shingles", "bands")
     found = linked_components(reps, rows, words)
     joined = classed.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     alone = sketched.filter("id IS NULL OR digest IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))

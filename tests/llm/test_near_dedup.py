@@ -3,6 +3,7 @@
 import collections
 import random
 
+import pytest
 from oracle import SF
 from pyspark.sql import functions as F
 
@@ -65,7 +66,8 @@ def test_query_equals_brute_force(spark):
     check(QUERIES["op7_minhash"](spark, SF).collect(), texts)
 
 
-def test_groups_chains_and_odd_texts(spark, monkeypatch):
+@pytest.mark.parametrize("bound, value", [("BLOCK", 7), ("BLOCK_SHINGLES", 800)])
+def test_groups_chains_and_odd_texts(spark, monkeypatch, bound, value):
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefghij", k=5))
     texts = [None, "", " \n", "One two", "one TWO", "É x", "é x", "one two three four", "one two three four five"]
@@ -84,7 +86,7 @@ def test_groups_chains_and_odd_texts(spark, monkeypatch):
         texts.append(" ".join(drift))
     texts.append(" ".join(word() for _ in range(30000)))
     rng.shuffle(texts)
-    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    monkeypatch.setattr(near_dedup, bound, value)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("component_id", F.lit("x")).withColumn("bands", F.lit(1))
     check(near_dedup.near_duplicates(df, words=4).collect(), dict(enumerate(texts)))
     kept = near_dedup.drop_near_duplicates(df, words=4)
