@@ -148,7 +148,7 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
 
 
 ANCHOR_ROWS = "bucket int, kind int, docs binary, data binary"
-DEALT = "dest int, kind int, id bigint, content bigint, text string, data binary"
+DEALT = "dest int, kind int, id bigint, content bigint, data binary"
 FRAGMENT_ROWS = "bucket int, kind int, data binary, bytes binary"
 COVER_ROWS = "dest int, data binary"
 SPANS = "id bigint, content bigint, spans binary"
@@ -227,7 +227,7 @@ def _repeated(buckets: int):
             records = records[np.repeat(several, np.diff(cut, append=len(records)))].copy()
             records["hash"] = records["hash"] << np.uint64(16) | np.uint64(current)
             records = records[np.lexsort((records["start"], records["content"], records["id"]))]
-            return [(k, SINGLE, None, None, None, packed(r)) for k, r in _parted(_destination(records, buckets), records)]
+            return [(k, SINGLE, None, None, packed(r)) for k, r in _parted(_destination(records, buckets), records)]
 
         for bucket, kind, docs, data in _rows(batches):
             if bucket != current:
@@ -235,7 +235,7 @@ def _repeated(buckets: int):
                     yield _batch(DEALT, out)
                 current = bucket
             if kind == FOUND:  # its bucket is its destination
-                yield _batch(DEALT, [(bucket, SINGLE, None, None, None, data)])
+                yield _batch(DEALT, [(bucket, SINGLE, None, None, data)])
             elif kind == KNOWN:
                 known.append(np.frombuffer(data, np.uint64))
             else:
@@ -268,6 +268,18 @@ def _as_cover(records: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pressed(buckets: int):
+    """Texts by destination, compressed: as they are, they would be the largest shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in slices(batches):
+            rows = zip(*[c.to_pylist() for c in batch.columns])
+            yield _batch(DEALT, [(((doc ^ content) & 0x7FFFFFFF) % buckets, KNOWN, doc, content, press.compress(text.encode("utf-8", "surrogatepass"))) for doc, content, text in rows])
+
+    return run
+
+
 def _fragments(buckets: int):
     """Texts that meet their candidates to fragments by bucket; of equal fragments in a chunk one is sent, the later ids' are covered."""
 
@@ -286,7 +298,7 @@ def _fragments(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, wanted, held, fragments, size = None, [], [], [], 0
         table, at = np.zeros(0, CAND), {}
-        for dest, kind, doc, content, text, data in _rows(batches):
+        for dest, kind, doc, content, data in _rows(batches):
             if dest != current:
                 current, wanted, table = dest, [], None
             if kind == SINGLE:
@@ -305,7 +317,7 @@ def _fragments(buckets: int):
             if begin == end:
                 continue
             mine = table[begin:end]
-            raw = text.encode("utf-8", "surrogatepass")
+            raw = zstandard.decompress(data)
             starts = mine["start"].tolist()
             ends = (mine["start"].astype(np.int64) + mine["n"] + SPAN - 1).tolist()
             held.append(mine)
@@ -460,8 +472,7 @@ def _passage_spans(long_: DataFrame) -> DataFrame:
     buckets = min(BUCKETS_PER_PARTITION * int(long_.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
     anchors = mapped(long_, _anchors(buckets), ANCHOR_ROWS)
     candidates = mapped(anchors.repartition("bucket").sortWithinPartitions("bucket"), _repeated(buckets), DEALT)
-    dest = F.pmod(F.col("id").bitwiseXOR(F.col("content")).bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(buckets)).cast("int")
-    texts = long_.select(dest.alias("dest"), F.lit(KNOWN).alias("kind"), "id", "content", "text", F.lit(None).cast("binary").alias("data"))
+    texts = mapped(long_, _pressed(buckets), DEALT)
     met = candidates.unionByName(texts).repartition("dest").sortWithinPartitions("dest", "kind")
     fragments = mapped(met, _fragments(buckets), FRAGMENT_ROWS)
     covers = mapped(fragments.repartition("bucket").sortWithinPartitions("bucket"), _covered(buckets), COVER_ROWS)
