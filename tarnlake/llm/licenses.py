@@ -1,15 +1,14 @@
 """License notices by conditional compression.
 
-A block (a line) that mentions licensing is compressed alone and with each notice's wording as raw
-dictionary. Notices are ranked by how much smaller they make the block. In that order each is compared
-with the block word by word: the first of which all telling words are there, and few others differ,
-is confirmed, and the differences are reported.
+A line that mentions licensing is compared with each notice word by word: the stretches of it in which
+all telling words of a notice are, and few others differ, are its blocks, however long the line. A block is
+compressed alone and with the notice's wording as raw dictionary, and the notice that makes its block
+smaller by most bytes is confirmed; the differences are reported.
 """
 
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 import zstandard
@@ -37,7 +36,7 @@ NOTICES: tuple[tuple[str, str], ...] = (
 )
 #: Fixed cues, in lower case: a block without any isn't a notice.
 CUES = ("licen", "copyright", "public domain", "creative commons", "cc by", "cc0", "spdx", "permission is hereby")
-#: A notice must make the block smaller by this share, and other words may differ up to this share of the notice.
+#: A notice must make its block smaller by this share, and other words may differ up to this share of the notice.
 MIN_REDUCTION, MAX_DIFFERENT = 0.15, 0.34
 LEVEL = 19
 RESULT = "n_blocks bigint, licenses array<string>, lines array<bigint>, reductions array<double>, differences array<string>"
@@ -61,28 +60,60 @@ class Notices:
         # words that not all licenses' notices share, and every number, tell licenses apart
         most = max((len(s) for s in used.values()), default=0)
         self.telling = {w for w, names in used.items() if len(names) <= most // 3 or any(map(str.isdigit, w))}
+        self.required = [self.telling.intersection(words) for _, words in self.notices]
+        self.most = [int(max(1, MAX_DIFFERENT * len(words))) for _, words in self.notices]
 
-    def reductions(self, block: str) -> list[float]:
-        raw = block.lower().encode("utf-8", "surrogatepass")
+    def reduction(self, k: int, block: str) -> tuple[int, float]:
+        """The bytes by which notice k makes a block smaller, and their share."""
+        raw = block.encode("utf-8", "surrogatepass")
         size = len(self.alone.compress(raw))
-        return [1 - len(c.compress(raw)) / size for c in self.given]
-
-    def differences(self, notice: list[str], block: list[str]) -> tuple[bool, str]:
-        """Whether the block has the notice's wording, and the words that differ (-missing +added)."""
-        matches = SequenceMatcher(None, notice, block, autojunk=False)
-        parts = [m for m in matches.get_matching_blocks() if m.size]
-        if not parts:
-            return False, ""
-        inside = (parts[0].b, parts[-1].b + parts[-1].size)
-        missing, added = [], []
-        for kind, a, b, c, d in matches.get_opcodes():
-            if kind != "equal":
-                missing += notice[a:b]
-                # what stands before or after the notice in the block is no difference
-                added += block[max(c, inside[0]) : min(d, inside[1])]
-        wrong = any(w in self.telling for w in missing) or any(w in self.telling or any(map(str.isdigit, w)) for w in added)
-        told = " ".join([*("-" + w for w in missing), *("+" + w for w in added)])
-        return not wrong and len(missing) + len(added) <= max(1, MAX_DIFFERENT * len(notice)), told
+        saved = size - len(self.given[k].compress(raw))
+        return saved, saved / size
+
+    def places(self, k: int, words: list[str]) -> list[tuple[int, int, str]]:
+        """Where words have the wording of notice k: first and last word, and the words that differ (-missing +added).
+
+        The whole notice is aligned with any stretch of words. No telling word may be missing, nor a
+        telling word or number stand between; what stands before or after is no difference. Of places
+        that overlap the one with fewest differences counts, then the longest.
+        """
+        notice = self.notices[k][1]
+        if not self.required[k].issubset(words):
+            return []
+        most, end = self.most[k], len(notice)
+        # by how many words of the notice are passed: differences, minus the first word met (1: none yet), missing and added words
+        fresh = {0: (0, 1, (), ())}
+        for i, x in enumerate(notice[:most]):
+            if x in self.telling:
+                break
+            fresh[i + 1] = (i + 1, 1, tuple(notice[: i + 1]), ())
+        found, before = [], fresh
+        for j, w in enumerate(words):
+            now = dict(fresh)
+            barred = w in self.telling or any(map(str.isdigit, w))
+            for i in range(1, end + 1):
+                ways = [now[i]] if i in now else []
+                if w == notice[i - 1] and i - 1 in before:
+                    n, first, less, more = before[i - 1]
+                    ways.append((n, -j if first == 1 else first, less, more))
+                if i in before and not barred and before[i][0] < most and before[i][1] != 1:
+                    n, first, less, more = before[i]
+                    ways.append((n + 1, first, less, (*more, w)))
+                if i - 1 in now and notice[i - 1] not in self.telling and now[i - 1][0] < most:
+                    n, first, less, more = now[i - 1]
+                    ways.append((n + 1, first, (*less, notice[i - 1]), more))
+                if ways:
+                    now[i] = min(ways)
+            if end in now and now[end][1] != 1:
+                n, first, less, more = now[end]
+                found.append((n, -first - j, -first, j, " ".join([*("-" + x for x in less), *("+" + x for x in more)])))
+            before = now
+        out, taken = [], bytearray(len(words))
+        for *_, i, j, told in sorted(found):
+            if not any(taken[i : j + 1]):
+                taken[i : j + 1] = b"\1" * (j + 1 - i)
+                out.append((i, j, told))
+        return out
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[str, int, float, str]]]:
         """Candidate blocks, and (license, line, reduction, differences) of each confirmed one."""
@@ -92,18 +123,20 @@ class Notices:
         if not any(cue in low for cue in CUES):
             return 0, []
         n, out = 0, []
-        for line, block in enumerate(text.split("\n")):
-            if not any(cue in block.lower() for cue in CUES):
+        for line, block in enumerate(low.split("\n")):
+            if not any(cue in block for cue in CUES):
                 continue
             n += 1
-            ranked = sorted(((-r, k) for k, r in enumerate(self.reductions(block)) if r >= MIN_REDUCTION))
-            words = words_of(block)
-            for r, k in ranked:
-                name, notice = self.notices[k]
-                same, told = self.differences(notice, words)
-                if same:
-                    out.append((name, line, -r, told))
-                    break
+            met = list(WORD.finditer(block))
+            words = [m.group() for m in met]
+            ranked = []
+            for k, (name, _) in enumerate(self.notices):
+                for i, j, told in self.places(k, words):
+                    saved, share = self.reduction(k, block[met[i].start() : met[j].end()])
+                    if share >= MIN_REDUCTION:
+                        ranked.append((-saved, k, i, (name, line, share, told)))
+            if ranked:
+                out.append(min(ranked)[3])
         return n, out
 
 
