@@ -2,12 +2,14 @@
 
 A line that mentions licensing is compared with each notice word by word: the stretches of it in which
 all telling words of a notice are, and few others differ, are its blocks, however long the line. A block is
-compressed alone and with the notice's wording as raw dictionary, and the notice that makes its block
-smaller by most bytes is confirmed; the differences are reported.
+compressed alone and with the notice's wording as raw dictionary. The notice that makes its block smaller
+by most bytes is confirmed, its words are taken and the next one is looked for among the others, so that a
+line has as many notices as it holds. The differences are reported.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 
 import pyarrow as pa
@@ -70,7 +72,7 @@ class Notices:
         saved = size - len(self.given[k].compress(raw))
         return saved, saved / size
 
-    def places(self, k: int, words: list[str]) -> list[tuple[int, int, str]]:
+    def places(self, k: int, words: list[str | None]) -> list[tuple[int, int, str]]:
         """Where words have the wording of notice k: first and last word, and the words that differ (-missing +added).
 
         The whole notice is aligned with any stretch of words. No telling word may be missing, nor a
@@ -90,7 +92,7 @@ class Notices:
         found, before = [], fresh
         for j, w in enumerate(words):
             now = dict(fresh)
-            barred = w in self.telling or any(map(str.isdigit, w))
+            barred = w is None or w in self.telling or any(map(str.isdigit, w))  # None: a word taken
             for i in range(1, end + 1):
                 ways = [now[i]] if i in now else []
                 if w == notice[i - 1] and i - 1 in before:
@@ -115,6 +117,40 @@ class Notices:
                 out.append((i, j, told))
         return out
 
+    def confirmed(self, text: str) -> list[tuple[str, int, float, str]]:
+        """(license, place, reduction, differences) of each notice of a lower-case text, in order.
+
+        The notice that makes its block smaller by most bytes comes first, and its words are taken;
+        notices that had some of them look again at the words left around.
+        """
+        met = list(WORD.finditer(text))
+        words: list[str | None] = [m.group() for m in met]
+        heap: list[tuple] = []
+        seen: set[tuple[int, int, int]] = set()
+
+        def look(k: int, begin: int, end: int) -> None:
+            for i, j, told in self.places(k, words[begin:end]):
+                i, j = i + begin, j + begin
+                if (k, i, j) in seen:
+                    continue
+                seen.add((k, i, j))
+                saved, share = self.reduction(k, text[met[i].start() : met[j].end()])
+                if share >= MIN_REDUCTION:
+                    heapq.heappush(heap, (-saved, k, i, j, share, told))
+
+        for k in range(len(self.notices)):
+            look(k, 0, len(words))
+        out = []
+        while heap:
+            _, k, i, j, share, told = heapq.heappop(heap)
+            if None in words[i : j + 1]:
+                reach = len(self.notices[k][1]) + self.most[k]
+                look(k, max(0, i - reach), j + 1 + reach)
+            else:
+                out.append((i, self.notices[k][0], met[i].start(), share, told))
+                words[i : j + 1] = [None] * (j + 1 - i)
+        return [x[1:] for x in sorted(out)]
+
     def scan(self, text: str | None) -> tuple[int, list[tuple[str, int, float, str]]]:
         """Candidate blocks, and (license, line, reduction, differences) of each confirmed one."""
         if not text:
@@ -127,16 +163,7 @@ class Notices:
             if not any(cue in block for cue in CUES):
                 continue
             n += 1
-            met = list(WORD.finditer(block))
-            words = [m.group() for m in met]
-            ranked = []
-            for k, (name, _) in enumerate(self.notices):
-                for i, j, told in self.places(k, words):
-                    saved, share = self.reduction(k, block[met[i].start() : met[j].end()])
-                    if share >= MIN_REDUCTION:
-                        ranked.append((-saved, k, i, (name, line, share, told)))
-            if ranked:
-                out.append(min(ranked)[3])
+            out += [(name, line, share, told) for name, _, share, told in self.confirmed(block)]
         return n, out
 
 

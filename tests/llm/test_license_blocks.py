@@ -34,3 +34,12 @@ def test_allowed_differences_are_never_too_small_a_reduction():
                 words.insert(rng.randrange(1, len(words)), rng.choice(["aaa", "documents", "xylophone"]))
         if any(cue in " ".join(words) for cue in licenses.CUES):
             assert (name, 0) in found(" ".join(words)), words
+
+
+def test_all_notices_of_a_line():
+    for a, one in licenses.NOTICES:
+        for b, two in licenses.NOTICES:
+            assert found(f"{one} {two}") == [(a, 0), (b, 0)], (one, two)
+    assert found("Licensed under the MIT License or the Apache License, Version 2.0.") == [("MIT", 0), ("Apache-2.0", 0)]
+    assert found("Licensed under the MIT License. " * 3000) == [("MIT", 0)] * 3000
+    assert found(" ".join(x for _, x in licenses.NOTICES * 20)) == [(name, 0) for name, _ in licenses.NOTICES * 20]
