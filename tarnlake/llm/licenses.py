@@ -1,16 +1,17 @@
 """License notices by conditional compression.
 
-A line that mentions licensing is compared with each notice word by word: the stretches of it in which
-all telling words of a notice are, and few others differ, are its blocks, however long the line. A block is
-compressed alone and with the notice's wording as raw dictionary. The notice that makes its block smaller
+A text that mentions licensing is compared with each notice word by word, its lines joined: the stretches in
+which all telling words of a notice are, and few others differ, are its blocks, wherever they stand in a line
+and on however many lines. A block is compressed alone and with the notice's wording as raw dictionary. The notice that makes its block smaller
 by most bytes is confirmed, its words are taken and the next one is looked for among the others, so that a
-line has as many notices as it holds. The differences are reported.
+text has as many notices as it holds. The differences are reported.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 import zstandard
@@ -36,13 +37,15 @@ NOTICES: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "Released under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-#: Fixed cues, in lower case: a block without any isn't a notice.
+#: Fixed cues, in lower case: a text without any has no notice.
 CUES = ("licen", "copyright", "public domain", "creative commons", "cc by", "cc0", "spdx", "permission is hereby")
 #: A notice must make its block smaller by this share, and other words may differ up to this share of the notice.
 MIN_REDUCTION, MAX_DIFFERENT = 0.15, 0.34
 LEVEL = 19
 RESULT = "n_blocks bigint, licenses array<string>, lines array<bigint>, reductions array<double>, differences array<string>"
 WORD = re.compile(r"[\w.+-]*\w")
+#: What is cut from both ends of a line before lines are joined: blanks and comment marks.
+MARKS = " \t\r\f\v#*/;%!|<>-=~:\\\"'`"
 
 
 def words_of(text: str) -> list[str]:
@@ -62,6 +65,8 @@ class Notices:
         # words that not all licenses' notices share, and every number, tell licenses apart
         most = max((len(s) for s in used.values()), default=0)
         self.telling = {w for w, names in used.items() if len(names) <= most // 3 or any(map(str.isdigit, w))}
+        self.cue_words = [cue.split() for cue in CUES]
+        self.cue = re.compile("|".join(map(re.escape, CUES)))
         self.required = [self.telling.intersection(words) for _, words in self.notices]
         self.most = [int(max(1, MAX_DIFFERENT * len(words))) for _, words in self.notices]
 
@@ -89,8 +94,10 @@ class Notices:
             if x in self.telling:
                 break
             fresh[i + 1] = (i + 1, 1, tuple(notice[: i + 1]), ())
-        found, before = [], fresh
+        found, before, inside = [], fresh, set(notice)
         for j, w in enumerate(words):
+            if before is fresh and w not in inside:
+                continue
             now = dict(fresh)
             barred = w is None or w in self.telling or any(map(str.isdigit, w))  # None: a word taken
             for i in range(1, end + 1):
@@ -109,7 +116,7 @@ class Notices:
             if end in now and now[end][1] != 1:
                 n, first, less, more = now[end]
                 found.append((n, -first - j, -first, j, " ".join([*("-" + x for x in less), *("+" + x for x in more)])))
-            before = now
+            before = now if any(first != 1 for _, first, _, _ in now.values()) else fresh
         out, taken = [], bytearray(len(words))
         for *_, i, j, told in sorted(found):
             if not any(taken[i : j + 1]):
@@ -152,19 +159,28 @@ class Notices:
         return [x[1:] for x in sorted(out)]
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[str, int, float, str]]]:
-        """Candidate blocks, and (license, line, reduction, differences) of each confirmed one."""
+        """How many lines mention licensing, and (license, line, reduction, differences) of each confirmed notice.
+
+        Lines are joined without their comment marks; a notice or cue stands on the line on which it begins.
+        """
         if not text:
             return 0, []
         low = text.lower()
-        if not any(cue in low for cue in CUES):
+        if not any(all(map(low.__contains__, words)) for words in self.cue_words):
             return 0, []
-        n, out = 0, []
-        for line, block in enumerate(low.split("\n")):
-            if not any(cue in block for cue in CUES):
-                continue
-            n += 1
-            out += [(name, line, share, told) for name, _, share, told in self.confirmed(block)]
-        return n, out
+        lines, starts, joined, at = [], [], [], 0
+        for line, part in enumerate(low.split("\n")):
+            if part := part.strip(MARKS):
+                lines.append(line)
+                starts.append(at)
+                joined.append(part)
+                at += len(part) + 1
+        whole = " ".join(joined)
+        line_of = lambda place: lines[bisect_right(starts, place) - 1]
+        n = len({line_of(m.start()) for m in self.cue.finditer(whole)})
+        if not n:
+            return 0, []
+        return n, [(name, line_of(place), share, told) for name, place, share, told in self.confirmed(whole)]
 
 
 def notices(of: tuple[tuple[str, str], ...]) -> Notices:
@@ -172,7 +188,7 @@ def notices(of: tuple[tuple[str, str], ...]) -> Notices:
 
 
 def scan_licenses(df: DataFrame, text_col: str = "text", of: tuple[tuple[str, str], ...] = NOTICES, carry_text: bool = True) -> DataFrame:
-    """df with n_blocks (lines that mention licensing) and, for each confirmed one in order, licenses, lines, reductions, differences.
+    """df with n_blocks (lines that mention licensing) and, for each confirmed notice in order, licenses, lines, reductions, differences.
 
     NULL and empty texts have none. Every row is scanned whole, repeated rows too; columns named like
     a result are replaced.

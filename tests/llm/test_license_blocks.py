@@ -43,3 +43,15 @@ def test_all_notices_of_a_line():
     assert found("Licensed under the MIT License or the Apache License, Version 2.0.") == [("MIT", 0), ("Apache-2.0", 0)]
     assert found("Licensed under the MIT License. " * 3000) == [("MIT", 0)] * 3000
     assert found(" ".join(x for _, x in licenses.NOTICES * 20)) == [(name, 0) for name, _ in licenses.NOTICES * 20]
+
+
+def test_wrapped_notices():
+    for name, notice in licenses.NOTICES:
+        words = notice.split()
+        for begin, mark in (("", ""), ("# ", "# "), ("/* ", " * "), ("", "\n"), ("\t", "\r\n\t")):
+            for i in range(1, len(words)):
+                text = "some words\n" + begin + " ".join(words[:i]) + "\n" + mark + " ".join(words[i:]) + "\nother words"
+                assert found(text) == [(name, 1)], text
+            assert found(begin + ("\n" + mark).join(words)) == [(name, 0)]
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    assert found(mit) == [("MIT", 0)]
