@@ -37,7 +37,7 @@ NOTICES: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "Released under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-#: Fixed cues, in lower case: a text without any has no notice.
+#: Fixed cues, in lower case: a text without any has no notice. A notice that holds none adds some of its own words.
 CUES = ("licen", "copyright", "public domain", "creative commons", "cc by", "cc0", "spdx", "permission is hereby")
 #: A notice must make its block smaller by this share, and other words may differ up to this share of the notice.
 MIN_REDUCTION, MAX_DIFFERENT = 0.15, 0.34
@@ -65,10 +65,18 @@ class Notices:
         # words that not all licenses' notices share, and every number, tell licenses apart
         most = max((len(s) for s in used.values()), default=0)
         self.telling = {w for w, names in used.items() if len(names) <= most // 3 or any(map(str.isdigit, w))}
-        self.cue_words = [cue.split() for cue in CUES]
-        self.cue = re.compile("|".join(map(re.escape, CUES)))
         self.required = [self.telling.intersection(words) for _, words in self.notices]
         self.most = [int(max(1, MAX_DIFFERENT * len(words))) for _, words in self.notices]
+        cues = [*CUES, *(w for k, (_, words) in enumerate(self.notices) if not any(cue in " ".join(words) for cue in CUES) for w in self.own_cues(k))]
+        self.cue_words = [cue.split() for cue in cues]
+        self.cue = re.compile("|".join(map(re.escape, cues)))
+
+    def own_cues(self, k: int) -> list[str]:
+        """Words of notice k of which every text that has its wording holds one."""
+        longest = sorted(set(self.notices[k][1]), key=lambda w: (-len(w), w))
+        telling = [w for w in longest if w in self.required[k] and not any(map(str.isdigit, w))]
+        # none of the telling words may be missing, and of the others no more than differ
+        return telling[:1] or longest[: self.most[k] + 1]
 
     def reduction(self, k: int, block: str) -> tuple[int, float]:
         """The bytes by which notice k makes a block smaller, and their share."""

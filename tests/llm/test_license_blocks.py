@@ -55,3 +55,16 @@ def test_wrapped_notices():
             assert found(begin + ("\n" + mark).join(words)) == [(name, 0)]
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
     assert found(mit) == [("MIT", 0)]
+
+
+def test_templates_without_a_cue():
+    body = "Redistribution and use in source and binary forms, with or without modification, are permitted."
+    for given in ((("BSD", body),), (*licenses.NOTICES, ("BSD", body)), (("own", "Use it as you like."), ("BSD", body))):
+        known = licenses.Notices(given)
+        assert not any(cue in body.lower() for cue in licenses.CUES)
+        assert found(body, known) == [("BSD", 0)]
+        words = known.notices[-1][1]
+        for i in range(len(words) - known.most[-1] + 1):  # as many words away as may be
+            rest = [w for j, w in enumerate(words) if not i <= j < i + known.most[-1] or w in known.telling]
+            assert found(f"first\n{' '.join(rest)}", known) == [("BSD", 1)], rest
+    assert found("Use it as you like.", licenses.Notices((("own", "Use it as you like."),))) == [("own", 0)]
