@@ -27,7 +27,7 @@ from .common import add_columns, resident
 WORD_FILE = "word_bpe_49k.json"
 #: Chunks remembered by a Python worker: as many met lately, and as many met before.
 REMEMBERED = 130_000
-#: Longer chunks (bytes) are merged with a heap.
+#: Longer chunks (bytes) are merged by themselves, and longer fragments with a heap.
 LONG = 1000
 #: Texts encoded together.
 BATCH_ROWS = 768
@@ -146,10 +146,23 @@ class WordBPE:
         counts = np.add.reduceat(alive.astype(np.int64), ends - lengths + 1) if len(words) else lengths
         return token[alive], counts
 
-    def merge_long(self, word: bytes) -> list[int]:
-        """As merge(), for one word of any length, with a heap."""
-        ids = self.inner[np.frombuffer(word, np.uint8)].tolist()
-        ids[-1] = int(self.last[word[-1]])
+    def merge_parts(self, words: list[bytes]) -> list[int]:
+        """As merge(), for words of any length: fragment by fragment with a heap where they are few or one is long."""
+        if sum(map(len, words)) > LONG and all(len(part) <= LONG for w in words if len(w) > LONG for part in self.cuts(w)):
+            return self.merge(words)[0].tolist()
+        out: list[int] = []
+        for w in words:
+            *parts, end = self.cuts(w)
+            for part in parts:
+                out += self.merge_long(part, False)
+            out += self.merge_long(end)
+        return out
+
+    def merge_long(self, fragment: bytes, ends: bool = True) -> list[int]:
+        """The ids of one fragment of any length, merged with a heap; ends: it is the last of its word."""
+        ids = self.inner[np.frombuffer(fragment, np.uint8)].tolist()
+        if ends:
+            ids[-1] = int(self.last[fragment[-1]])
         n = len(ids)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
@@ -192,7 +205,7 @@ class WordBPE:
             if len(chunk) > LONG or self.special_cut and "<" in text and self.special_cut.search(text):
                 ids: list[int] = []
                 for part in self.special_cut.split(text) if self.special_cut else [text]:
-                    ids += [self.special[part]] if part in self.special else [i for w in (self.split(part) if part else []) for i in self.merge_long(w)]
+                    ids += [self.special[part]] if part in self.special else self.merge_parts(self.split(part) if part else [])
                 out[chunk] = np.array(ids, "<u4").tobytes()
             else:
                 found = self.split(text)
