@@ -13,6 +13,8 @@ import heapq
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
@@ -29,14 +31,15 @@ WORD_FILE = "word_bpe_49k.json"
 REMEMBERED = 130_000
 #: Longer chunks (bytes) are merged by themselves, and longer fragments with a heap.
 LONG = 1000
-#: Texts encoded together.
-BATCH_ROWS = 768
+#: Texts encoded together, new chunks merged together, and characters of a text looked at together.
+BATCH_ROWS, LEARNT, STRETCH = 256, 16_000, 1 << 20
 NONE = np.iinfo(np.int32).max
 EMPTY = np.uint32(0xFFFFFFFF)
 MULTIPLIER, SHIFT = np.uint32(2654435769), np.uint32(12)
 #: Below this code point all Unicode versions agree on classes and cases.
 AGREED = "՘"
 END = "</w>"
+BLANK = re.compile("[\\x20\\x09-\\x0D]")
 
 
 def byte_letters() -> list[str]:
@@ -46,6 +49,17 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+def stretches(text: str) -> Iterator[str]:
+    """A text in parts of about STRETCH characters, cut at ASCII white space; a longer run without any stays whole."""
+    at = 0
+    while len(text) - at > STRETCH:
+        if (blank := BLANK.search(text, at + STRETCH)) is None:
+            break
+        yield text[at : blank.start()]
+        at = blank.start()
+    yield text[at:] if at else text
+
+
 class WordBPE:
     """The tokenizer of a byte-level BPE file whose words end in a suffix."""
 
@@ -54,36 +68,40 @@ class WordBPE:
         model = spec["model"]
         if model["end_of_word_suffix"] != END or model["continuing_subword_prefix"] or spec["decoder"] is not None:
             raise ValueError(f"{path} is not a word-end BPE file without a decoder")
-        self.vocab: dict[str, int] = model["vocab"]
+        vocab: dict[str, int] = model["vocab"]
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = special
         self.special_cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        names = {i: s for s, i in [*self.vocab.items(), *special.items()]}
+        names = {i: s for s, i in [*vocab.items(), *special.items()]}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
-        self.merges = {}
-        for rank, (a, b) in enumerate(model["merges"]):
-            self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
-        self.made = np.array([new for _, new in self.merges.values()], np.int32)  # by rank
+        # merges by pair of ids, in a table of open slots; what each makes, by rank
         self.slot_keys, self.slot_ranks = np.full(1 << 20, EMPTY, np.uint32), np.zeros(1 << 20, np.int32)
-        for (a, b), (rank, _) in self.merges.items():
-            key = a << 16 | b
+        self.made = np.zeros(len(model["merges"]), np.int32)
+        for rank, (a, b) in enumerate(model["merges"]):
+            key = vocab[a] << 16 | vocab[b]
             slot = (key * int(MULTIPLIER) & 0xFFFFFFFF) >> int(SHIFT)
             while self.slot_keys[slot] != EMPTY:
                 slot = (slot + 1) & (1 << 20) - 1
             self.slot_keys[slot], self.slot_ranks[slot] = key, rank
+            self.made[rank] = vocab[a + b]
         letters = byte_letters()
         byte_of = {c: i for i, c in enumerate(letters)}
-        self.inner = np.array([self.vocab[c] for c in letters], np.int32)
-        self.last = np.array([self.vocab[c + END] for c in letters], np.int32)
+        self.inner = np.array([vocab[c] for c in letters], np.int32)
+        self.last = np.array([vocab[c + END] for c in letters], np.int32)
         self.joined = np.zeros(1 << 16, bool)  # byte pairs that stand side by side in some token
-        for token in self.vocab:
+        for token in vocab:
             body = [byte_of[c] for c in token.removesuffix(END)]
             self.joined[[a << 8 | b for a, b in zip(body, body[1:])]] = True
-        self.library = Tokenizer.from_file(path)  # for texts on which Unicode versions may differ
+        self.path = path
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """For texts on which Unicode versions may differ."""
+        return Tokenizer.from_file(self.path)
+
     def cuts(self, word: bytes) -> list[bytes]:
         """The fragments of a word between its forced boundaries."""
         letters = np.frombuffer(word, np.uint8)
@@ -158,6 +176,16 @@ class WordBPE:
             out += self.merge_long(end)
         return out
 
+    def rank_of(self, a: int, b: int) -> int | None:
+        """The merge rank of one pair of ids."""
+        key = a << 16 | b
+        slot = (key * int(MULTIPLIER) & 0xFFFFFFFF) >> int(SHIFT)
+        while (found := self.slot_keys.item(slot)) != key:
+            if found == EMPTY:
+                return None
+            slot = (slot + 1) & (len(self.slot_keys) - 1)
+        return self.slot_ranks.item(slot)
+
     def merge_long(self, fragment: bytes, ends: bool = True) -> list[int]:
         """The ids of one fragment of any length, merged with a heap; ends: it is the last of its word."""
         ids = self.inner[np.frombuffer(fragment, np.uint8)].tolist()
@@ -165,20 +193,20 @@ class WordBPE:
             ids[-1] = int(self.last[fragment[-1]])
         n = len(ids)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := self.rank_of(ids[i], ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = right[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = self.made.item(rank), -1
             right[i] = right[j]
             if right[j] >= 0:
                 left[right[j]] = i
             for p, q in ((left[i], i), (i, right[i])):
-                if p >= 0 and q >= 0 and (m := self.merges.get((ids[p], ids[q]))):
-                    heapq.heappush(heap, (m[0], p, ids[p], ids[q], m[1]))
+                if p >= 0 and q >= 0 and (m := self.rank_of(ids[p], ids[q])) is not None:
+                    heapq.heappush(heap, (m, p, ids[p], ids[q]))
         return [x for x in ids if x >= 0]
 
     def split(self, text: str) -> list[bytes]:
@@ -201,6 +229,17 @@ class WordBPE:
         """The ids of new chunks as little-endian unsigned 32-bit integers."""
         out, plain, words, sizes = {}, [], [], []
         for chunk in chunks:
+            if len(chunk) <= LONG:
+                if chunk.isalpha():  # ASCII letters only
+                    plain.append(chunk)
+                    words.append(chunk.lower())
+                    sizes.append(1)
+                    continue
+                if chunk[-1] in b".,!|" and chunk[:-1].isalpha():
+                    plain.append(chunk)
+                    words += (chunk[:-1].lower(), chunk[-1:])
+                    sizes.append(2)
+                    continue
             text = chunk.decode("utf-8")
             if len(chunk) > LONG or self.special_cut and "<" in text and self.special_cut.search(text):
                 ids: list[int] = []
@@ -226,19 +265,44 @@ class WordBPE:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts as little-endian unsigned 32-bit integers; of NULL: none."""
-        split = [t.encode("utf-8").split() if t else [] for t in texts]
+        out, at = [[] for _ in texts], 0
+        parts = [(i, part) for i, text in enumerate(texts) for part in stretches(text or "")]
+        while at < len(parts):  # as many texts at once as make a stretch
+            until, size = at, 0
+            while until < len(parts) and (until == at or size < STRETCH):
+                size += len(parts[until][1])
+                until += 1
+            for (i, _), ids in zip(parts[at:until], self._encode([part for _, part in parts[at:until]])):
+                out[i].append(ids)
+            at = until
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         known, old = self.known, self.old
-        new = []
-        for c in {c for chunks in split for c in chunks if c not in known}:
+        found, new, gaps = [], {}, []
+        for text in texts:
+            chunks = text.encode("utf-8").split()
+            ids = list(map(known.get, chunks))
+            found.append(ids)
+            if None in ids:
+                where = [k for k, x in enumerate(ids) if x is None]
+                missing = [chunks[k] for k in where]
+                gaps.append((ids, where, missing))
+                new.update(dict.fromkeys(missing))
+        unmet = []
+        for c in new:
             if (got := old.get(c)) is None:
-                new.append(c)
+                unmet.append(c)
             else:
                 known[c] = got
-        known.update(self.learn(new))
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        for at in range(0, len(unmet), LEARNT):
+            known.update(self.learn(unmet[at : at + LEARNT]))
+        for ids, where, missing in gaps:
+            for k, c in zip(where, missing):
+                ids[k] = known[c]
         if len(known) >= REMEMBERED:  # what isn't met again is forgotten
             self.known, self.old = {}, known
-        return out
+        return list(map(b"".join, found))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, special tokens included: the file names no decoder, so tokens stand between blanks."""

@@ -28,7 +28,9 @@ from .common import mapped, slices
 WINDOW = 4096
 END_ID = 2
 #: Tokens a task holds before it packs them (4 bytes each).
-POOL_TOKENS = 4_000_000
+POOL_TOKENS = 2_000_000
+#: Tokens of finished pieces handed on at once.
+OUT_TOKENS = 500_000
 
 
 class Capacities:
@@ -140,17 +142,15 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
         encoder = tokenizer(path)
         sequence = TaskContext.get().partitionId() << 32
         end = np.array([end_id], "<u4").tobytes()
-        out: list[tuple] = []
         pool: list[tuple] = []  # id, start, doc_tokens, ids
         held, id_type = 0, None
 
-        def emitted() -> pa.RecordBatch:
-            columns = list(zip(*out)) or [()] * 7
-            out.clear()
+        def emitted(pieces: list[tuple]) -> pa.RecordBatch:
             types = [id_type, *[pa.int64()] * 5, pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*pieces), types)], names=schema.names)
 
-        def closed() -> None:
+        def closed() -> Iterator[tuple]:
+            """The pieces of the pool, packed."""
             nonlocal sequence
             lengths = [len(ids) // 4 for *_, ids in pool]
             windows = [[(i, 0, lengths[i]) for i in w] for w in best_fit_decreasing(lengths, window)]
@@ -158,31 +158,39 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
                 offset = 0
                 for i, start, n in pieces:
                     doc, before, tokens, ids = pool[i]
-                    out.append((doc, before + start, n, tokens, sequence, offset, ids[4 * start : 4 * (start + n)]))
+                    yield doc, before + start, n, tokens, sequence, offset, ids[4 * start : 4 * (start + n)]
                     offset += n
                 sequence += 1
             pool.clear()
 
-        for batch in slices(batches, BATCH_ROWS):
-            id_type = batch.column(0).type
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                ids += end
-                tokens = len(ids) // 4
-                full = tokens - tokens % window
-                for start in range(0, full, window):
-                    out.append((doc, start, window, tokens, sequence, 0, ids[4 * start : 4 * (start + window)]))
-                    sequence += 1
-                if full < tokens:
-                    pool.append((doc, full, tokens, ids[4 * full :]))
-                    held += tokens - full
-            if held >= pool_tokens:
-                closed()
-                held = 0
-            if out:
-                yield emitted()
-        closed()
+        def packed() -> Iterator[tuple]:
+            nonlocal sequence, held, id_type
+            for batch in slices(batches, BATCH_ROWS):
+                id_type = batch.column(0).type
+                for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
+                    ids += end
+                    tokens = len(ids) // 4
+                    full = tokens - tokens % window
+                    for start in range(0, full, window):
+                        yield doc, start, window, tokens, sequence, 0, ids[4 * start : 4 * (start + window)]
+                        sequence += 1
+                    if full < tokens:
+                        pool.append((doc, full, tokens, ids[4 * full :]))
+                        held += tokens - full
+                if held >= pool_tokens:
+                    yield from closed()
+                    held = 0
+            yield from closed()
+
+        out, size = [], 0
+        for piece in packed():
+            out.append(piece)
+            size += piece[2]
+            if size >= OUT_TOKENS:
+                yield emitted(out)
+                out, size = [], 0
         if out:
-            yield emitted()
+            yield emitted(out)
 
     return mapped(rows, run, schema, keeps=True)
 
