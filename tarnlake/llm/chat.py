@@ -50,8 +50,9 @@ def turns_of(turns: DataFrame, key: str, turn: str = "turn", role: str = "role",
     rendered from it.
     """
     say = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    grouped = turns.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(say)).alias("turns"))
-    return grouped.select(key, F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    rows = turns.filter(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("own"), say.alias("say"))
+    grouped = rows.groupBy("own").agg(F.sort_array(F.collect_list("say")).alias("said"))
+    return grouped.select(F.col("own").alias(key), F.transform("said", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
 def format_pairs(pairs: DataFrame, key: str, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
@@ -61,19 +62,19 @@ def format_pairs(pairs: DataFrame, key: str, chosen: str = "chosen", rejected: s
     row is formatted, repeated keys too; other columns are ignored.
     """
     none = F.array().cast(f"array<{TURN}>")
-    both = pairs.select(F.col(key), F.coalesce(F.col(chosen), none).alias("c"), F.coalesce(F.col(rejected), none).alias("r")).withColumn("n", common_turns(F.col("c"), F.col("r")))
+    both = pairs.select(F.col(f"`{key}`").alias("own"), F.coalesce(F.col(chosen), none).alias("c"), F.coalesce(F.col(rejected), none).alias("r")).withColumn("n", common_turns(F.col("c"), F.col("r")))
     after = lambda a: F.slice(a, F.col("n") + 1, F.greatest(F.size(a) - F.col("n"), F.lit(0)))
-    parts = both.select(key, "n", F.slice("c", F.lit(1), F.col("n")).alias("p"), after(F.col("c")).alias("c"), after(F.col("r")).alias("r"))
+    parts = both.select("own", "n", F.slice("c", F.lit(1), F.col("n")).alias("p"), after(F.col("c")).alias("c"), after(F.col("r")).alias("r"))
     return parts.select(
-        key, F.col("n").alias("n_prompt_turns"), render(F.col("p")).alias("prompt"), render(F.col("c")).alias("chosen"),
+        F.col("own").alias(key), F.col("n").alias("n_prompt_turns"), render(F.col("p")).alias("prompt"), render(F.col("c")).alias("chosen"),
         render(F.col("r")).alias("rejected"), mask(F.col("c")).alias("chosen_mask"), mask(F.col("r")).alias("rejected_mask"),
     )
 
 
 def format_preferences(chosen: DataFrame, rejected: DataFrame, key: str = "pair_id") -> DataFrame:
     """As format_pairs(), of two tables of turns (key, turn, role, text); a key that one lacks has no turns there."""
-    sides = turns_of(chosen, key).withColumnRenamed("turns", "chosen").join(turns_of(rejected, key).withColumnRenamed("turns", "rejected"), key, "full_outer")
-    return format_pairs(sides, key)
+    side = lambda turns, name: turns_of(turns, key).toDF("own", name)
+    return format_pairs(side(chosen, "chosen").join(side(rejected, "rejected"), "own", "full_outer"), "own").withColumnRenamed("own", key)
 
 
 def last_reply_pairs(turns: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -82,13 +83,13 @@ def last_reply_pairs(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     A stale reply is a plausible worse answer, so that recorded conversations give pairs by themselves.
     What follows the last reply is left out; conversations without a reply give no pair.
     """
-    whole = turns_of(turns, key)
+    whole = turns_of(turns, key).toDF("own", "turns")
     replies = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == ASSISTANT, i + 1)), lambda i: i.isNotNull())
     told = whole.withColumn("replies", replies).filter(F.size("replies") > 0).withColumn("last", F.element_at("replies", -1))
     before = F.when(F.size("replies") > 1, F.element_at("turns", F.element_at("replies", -2))["text"]).otherwise(F.lit(""))
     stale = F.array(F.struct(F.lit(ASSISTANT).alias("role"), before.alias("text")))
     head = F.slice("turns", F.lit(1), F.col("last") - 1)
-    return told.select(key, F.slice("turns", F.lit(1), F.col("last")).alias("chosen"), F.concat(head, stale).alias("rejected"))
+    return told.select(F.col("own").alias(key), F.slice("turns", F.lit(1), F.col("last")).alias("chosen"), F.concat(head, stale).alias("rejected"))
 
 
 ORACLE = """

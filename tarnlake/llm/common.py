@@ -9,6 +9,7 @@ import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -51,15 +52,23 @@ def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one if this is the only machine, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared one, with whatever file system it is on."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder, with its lineage cut."""
     shared_folder(df.sparkSession)
@@ -67,9 +76,10 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let shuffle files of plans that are done with go now: they stay until the driver's JVM collects the plans."""
+    """Let shuffle files of plans that are done with go now, where the driver's JVM can be asked: they stay until it collects the plans."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with contextlib.suppress(AttributeError, PySparkException):  # a remote session has no such gateway
+        spark.sparkContext._jvm.System.gc()
 
 
 def text_of(column: str) -> Column:
@@ -83,10 +93,25 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
-def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """df without the columns whose names (in any case) an operator is about to use."""
-    taken = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+def place_of(df: DataFrame, name: str) -> int:
+    """The position of a column: of that very name, or of the same in another case."""
+    if name in df.columns:
+        return df.columns.index(name)
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
+def numbered(df: DataFrame, *reads: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns renamed to their numbers, and the new names of the columns `reads`.
+
+    An operator may then give its own columns any name that isn't a number: none of the caller's clashes.
+    """
+    return df.toDF(*map(str, range(len(df.columns)))), [str(place_of(df, c)) for c in reads]
+
+
+def renamed(rows: DataFrame, names: Sequence[str], results: Sequence[str] = (), leave: Sequence[str] = ()) -> DataFrame:
+    """The numbered columns of rows under their own names, then the results; columns named like a result (in any case) are replaced."""
+    taken = {n.lower() for n in (*results, *leave)}
+    return rows.select(*[F.col(str(i)).alias(c) for i, c in enumerate(names) if c.lower() not in taken], *results)
 
 
 def add_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], added: str, reads: Sequence[str], rows_at_once: int = SLICE_ROWS, carry: bool = True) -> DataFrame:
@@ -96,12 +121,14 @@ def add_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], a
     have an added name are replaced.
     """
     new = StructType.fromDDL(added)
-    kept = without(df, [*new.names, *([] if carry else reads)])
-    schema = StructType([*kept.schema.fields, *new.fields])
-    n = len(kept.columns)
-    where = [df.columns.index(c) for c in reads]
-    # the read columns ride at the end, under positions, in case one of them is replaced
-    rows = df.select(*[F.col(f"`{c}`") for c in kept.columns], *[F.col(f"`{df.columns[i]}`").alias(f"__read{k}") for k, i in enumerate(where)])
+    where = [place_of(df, c) for c in reads]
+    taken = {n.lower() for n in new.names}
+    kept = [i for i, c in enumerate(df.columns) if c.lower() not in taken and (carry or i not in where)]
+    schema = StructType([*[df.schema[i] for i in kept], *new.fields])
+    n = len(kept)
+    # the read columns ride at the end, in case one of them is replaced
+    plain, _ = numbered(df)
+    rows = plain.select(*[F.col(str(i)) for i in kept], *[F.col(str(i)).alias(f"read{k}") for k, i in enumerate(where)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, rows_at_once):
@@ -129,7 +156,8 @@ def grouped_back(rows: DataFrame, keys: Sequence[str], salt: str, partial: Seque
 
 # --- a blocked Bloom filter as a table: one row of 64 bits for each of a fixed number of words ---
 
-#: Words of a filter: 2**20 words are 8 MB of bits, the proven bound of what is broadcast.
+#: Words of a filter, the proven bound of what is broadcast: 2**20 rows of two 64-bit numbers, about 35 MB as a hash relation.
+#: It has so many rows only where about 2**20 keys are in it, and no more however many are.
 FILTER_WORDS = 1 << 20
 
 
@@ -171,9 +199,8 @@ def drop_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
 
     Rows that the filter of the ids certainly lacks keep their place; only the others shuffle.
     """
-    (name,) = ids.columns
-    keyed = ids.select(F.col(f"`{name}`").alias("__gone")).withColumn("__key", F.xxhash64("__gone"))
-    told = maybe_in(df, F.xxhash64(F.col(f"`{id_col}`")), filter_of(keyed, "__key"), "__maybe")
-    some = told.filter("__maybe").drop("__maybe")
-    sure = some.join(keyed.select("__gone").distinct(), some[f"`{id_col}`"] == F.col("__gone"), "left_anti")
-    return told.filter("NOT __maybe").drop("__maybe").unionByName(sure)
+    gone = ids.toDF("gone").withColumn("key", F.xxhash64("gone"))
+    rows, (own,) = numbered(df, id_col)
+    told = maybe_in(rows, F.xxhash64(own), filter_of(gone, "key"), "maybe")
+    sure = told.filter("maybe").join(gone.select("gone").distinct(), F.col(own) == F.col("gone"), "left_anti")
+    return renamed(told.filter("NOT maybe").unionByName(sure), df.columns)

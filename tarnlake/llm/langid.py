@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import add_columns, resident, without
+from .common import add_columns, numbered, renamed, resident
 
-#: The training sample: documents of each language, and bytes taken of each. Bounds what the driver sees.
-SAMPLE_DOCS, SAMPLE_BYTES = 128, 3000
+#: The training sample: documents of each language, the most characters that these have, and languages. Bounds what the driver sees.
+SAMPLE_DOCS, SAMPLE_CHARS, MOST_LANGUAGES = 128, 3000, 200
+#: Languages with that many bytes in the sample get equal shares.
+FLOOR = 64_000
 #: Blocks stay short against the dictionary, so that a long text leans on it to its end.
 BLOCK = 16384
 LEVEL = 6
@@ -31,25 +33,37 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = SAMPLE_DOCS) -> list[tuple[str, bytes]]:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, languages: int = MOST_LANGUAGES) -> list[tuple[str, bytes]]:
     """A raw dictionary for each language, the language with most documents first.
 
-    It holds the first `docs` documents in the order of a hash of their id.
+    It holds whole texts: of `docs` documents of at most `chars` characters, the first in the order of a
+    hash of their id, or the one first document if none is so short. The `languages` languages with most
+    documents are learnt. Of those with FLOOR bytes or more, each gets documents until it has as many
+    bytes as the poorest of them, or else size alone would win; poorer ones have all that there is.
 
-    Held-out documents, and those without a text or a language, teach nothing. No labelled row: no
-    languages, and every text is then unknown.
+    Held-out documents, and those without a text or a language, teach nothing. Rows that repeat an id
+    count one by one, in the order of their texts. No labelled row: no languages, and every text is then unknown.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     usable = rows.filter(~held_out("id") & F.col("lang").isNotNull() & (F.trim("text") != ""))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    count = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    long_ = F.length("text") > chars
+    order = W.partitionBy("lang").orderBy("long", F.xxhash64("id"), "id", "text")
     # the ranks are cut within each task before anything shuffles
-    chosen = usable.select("lang", "id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= docs)
-    texts: dict[str, list] = {r["lang"]: [] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
-    for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["n"])):
-        texts[r["lang"]].append(r["text"].lower().encode("utf-8")[:SAMPLE_BYTES])
-    # every language gets as much as the poorest has, or else size alone would win
-    size = max((sum(map(len, t)) for t in texts.values()), default=0)
-    return [(lang, b"\n".join(t)[:size]) for lang, t in texts.items()]
+    ranked = usable.filter(F.col("lang").isin(list(count))).select("lang", "id", "text", long_.alias("long")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= docs)
+    texts: dict[str, list] = {lang: [] for lang in count}
+    for r in sorted(ranked.filter("NOT long OR n = 1").collect(), key=lambda r: (r["lang"], r["n"])):
+        texts[r["lang"]].append(r["text"].lower().encode("utf-8"))
+    size = min((s for s in (sum(map(len, t)) for t in texts.values()) if s >= FLOOR), default=FLOOR)
+    out = []
+    for lang, every in texts.items():
+        had = 0
+        for n, text in enumerate(every, 1):
+            had += len(text)
+            if had >= size:
+                break
+        out.append((lang, b"\n".join(every[:n])))
+    return out
 
 
 def compressors(dictionaries: tuple[tuple[str, bytes], ...]) -> list[tuple[str, zstandard.ZstdCompressor]]:
@@ -76,7 +90,8 @@ def predict(df: DataFrame, dictionaries: list[tuple[str, bytes]], text_col: str
     """df with lang_pred, score, margin and rejected. Columns with these names are replaced.
 
     NULL texts and those without a letter are `und`, rejected with score 0. Repeated rows get equal
-    answers. With a single learned language every text is it.
+    answers. With a single learned language every text is it. Of languages that make a text equally
+    small the one with most documents is named, with margin and score 0, so rejected.
     """
     models = tuple(dictionaries)  # a few hundred kB, sent with the function
 
@@ -96,6 +111,9 @@ def identify_documents(df: DataFrame) -> DataFrame:
 
 
 def keep_identified(df: DataFrame) -> DataFrame:
-    """The documents whose language isn't rejected, with their own columns."""
-    columns = df.columns
-    return predict(without(df, ["lang_pred", "score", "margin", "rejected"]), train(df)).filter("NOT rejected").select(*[c for c in columns])
+    """The documents whose language isn't rejected, with their own columns, of any names; NULL, empty and letterless texts go.
+
+    Repeated rows go or stay together. No row of an empty table.
+    """
+    rows, (text,) = numbered(df, "text")
+    return renamed(predict(rows, train(df), text).filter("NOT rejected"), df.columns)

@@ -14,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, add_columns, grouped_back, settled, without
+from .common import SALTS, add_columns, grouped_back, numbered, renamed, settled
 
 SYMBOLS = "#*$%&|<>"
 #: A host goes if its shrunk failure rate is above this.
 MAX_HOST_RATE = 0.6
 
 MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", "kept"]
 
 
 def measure(text: str | None) -> tuple[int, int, int, int, int]:
@@ -53,7 +54,7 @@ def _measure_batch(batch: pa.RecordBatch) -> list[pa.Array]:
 
 
 def text_measures(df: DataFrame, text_col: str = "text", carry_text: bool = True) -> DataFrame:
-    """df with the five measures and base_failed (few words, or mostly repeated ones)."""
+    """df with the five measures and base_failed (few words, or mostly repeated ones). Columns named like a result are replaced."""
     few = F.col("n_words") < 50
     mostly_repeated = 100 * F.col("n_repeat_words") > 50 * F.col("n_words")
     return add_columns(df, _measure_batch, MEASURES, [text_col], carry=carry_text).withColumn("base_failed", few | mostly_repeated)
@@ -84,21 +85,22 @@ def host_rules(df: DataFrame, host_col: str = "source", text_col: str = "text",
     """df with the measures, base_failed, host_rate (shrunk failure rate of the host) and kept.
 
     A NULL host is a host of its own. NULL text has no words, so it fails. An empty table gives no
-    rows. Columns named like a result are replaced. Each row is judged, repeated rows too.
+    rows. Columns named like a result are replaced, others may have any name. Each row is judged,
+    repeated rows too, and each whole text, however long. A rate equal to the limit keeps.
     """
-    plain = without(df, ["host_rate", "kept", "base_failed", "__host", "__salt", "__n"])
-    host = F.coalesce(F.concat(F.lit("="), F.col(f"`{host_col}`")), F.lit(""))  # no real host is empty then
+    plain, (host, text) = numbered(df, host_col, text_col)
+    key = F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit(""))  # no real host is empty then
     # by row and not by content, so that copies of one text are dealt out too; settled() fixes the numbers
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
-    rows = settled(text_measures(plain, text_col, carry_text).withColumn("__host", host).withColumn("__salt", salt))
+    rows = settled(text_measures(plain, text, carry_text).withColumn("host", key).withColumn("salt", salt))
     failed = F.sum(F.col("base_failed").cast("bigint"))
-    hosts = rows.groupBy("__host").agg(F.count("*").alias("n"), failed.alias("failed"))
+    hosts = rows.groupBy("host").agg(F.count("*").alias("n"), failed.alias("failed"))
     prior = F.broadcast(beta_prior(hosts))  # one row
-    per_salt = [F.count("*").alias("__n"), failed.alias("__f")]
-    judged = grouped_back(rows, ["__host"], "__salt", per_salt, [F.sum("__n").alias("__n"), F.sum("__f").alias("__f")]).crossJoin(prior)
-    rate = (F.col("__f") + F.col("alpha")) / (F.col("__n") + F.col("alpha") + F.col("beta"))
+    per_salt = [F.count("*").alias("n"), failed.alias("failed")]
+    judged = grouped_back(rows, ["host"], "salt", per_salt, [F.sum("n").alias("n"), F.sum("failed").alias("failed")]).crossJoin(prior)
+    rate = (F.col("failed") + F.col("alpha")) / (F.col("n") + F.col("alpha") + F.col("beta"))
     out = judged.withColumn("host_rate", rate).withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_rate))
-    return out.drop("__host", "__salt", "__n", "__f", "alpha", "beta")
+    return renamed(out, df.columns, RESULTS, [] if carry_text else [df.columns[int(text)]])
 
 
 _WORDS = r"[^\x20\x09-\x0D]+"
