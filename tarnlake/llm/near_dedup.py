@@ -6,11 +6,12 @@ minima share a bucket. All members of a bucket are compared with its hub (its sm
 by signature, then by their full sets. Links give components by large-star and small-star.
 
 Members that a hub doesn't link may still be linked to each other. So buckets whose other members
-lie in several components are searched again, exactly: an inverted list of their shingles gives the
-overlap of each member outside the largest component with all the others at once. A member of which
-over a fifth of the shingles are in no other set can't be linked and is passed over. Links inside a
-component can't change it and aren't looked for; of several links between a member and a component
-one is returned. Nothing is capped; a bucket of many or long members is dealt out as pairs of blocks.
+lie in several components are searched again, exactly: those outside the largest component are probes,
+and an inverted list of the shingles gives the overlap of a probe with all members at once. A probe of
+which over a fifth of the shingles are in no other set can't be linked and is passed over. Links inside
+a component can't change it and aren't looked for; of several links between a probe and a component
+one is returned. Nothing is capped; a bucket of many or long members is dealt out as blocks of members
+and of probes.
 
 With 32 bands of 4 minima a pair of similarity 0.8 shares no bucket once in 20 million times; an
 estimate from 128 minima is more than MARGIN too low once in a million.
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, drop_ids, filter_of, grouped_back, mapped, maybe_in, release, repeated_filter, resident, salt_of, settled, without
+from .common import add_columns, drop_ids, filter_of, grouped_back, mapped, maybe_in, numbered, release, repeated_filter, resident, salt_of, settled
 from .components import star_components
 
 SHINGLE_WORDS = 5
@@ -36,8 +37,8 @@ PERCENT = 80
 BANDS, ROWS = 32, 4
 #: A signature may understate the similarity by this much.
 MARGIN = 0.18
-#: Members of a bucket, and shingles of these, that one task compares with those of another block at a time.
-BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
+#: Members of a bucket, and shingles of these, that one task compares with a block of probes at a time.
+BLOCK, BLOCK_SHINGLES = 600, 1_000_000
 #: Word hashes a worker remembers.
 REMEMBERED = 200_000
 
@@ -127,7 +128,11 @@ def full_sets(df: DataFrame, text_col: str, k: int) -> DataFrame:
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) that are links: likely by signature, and certain by their full sets."""
     side = lambda c: sets.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("hashes").alias(f"hashes_{c}"))
-    rows = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "sig_u", "sig_v", "hashes_u", "hashes_v")
+    # the pairs of one hub are dealt out by blocks; each block gets the hub's set
+    counted = grouped_back(pairs.withColumn("salt", salt_of("u")), ["v"], "salt", [F.count("*").alias("n")], [F.sum("n").alias("n")])
+    dealt = counted.select("u", "v", F.pmod(F.xxhash64("u"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("block"))
+    hubs = dealt.select("v", "block").distinct().join(side("v"), "v")
+    rows = dealt.join(side("u"), "u").join(hubs, ["v", "block"]).select("u", "v", "sig_u", "sig_v", "hashes_u", "hashes_v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,27 +152,32 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _cross_links(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """For a block pair of a bucket: exact links between its components, at most one for a member and a component."""
-    _, i, j = key
+    """For a block of a bucket's members and one of its probes: exact links between their components, at most one for a probe and a component."""
+    probe = pdf["probe"].to_numpy()
+    ids, comp = pdf["id"].to_numpy(), pdf["component_id"].to_numpy()
     sets = [np.frombuffer(h, np.uint64) for h in pdf["hashes"]]
-    ids, comp, block = pdf["id"].to_numpy(), pdf["component_id"].to_numpy(), pdf["block"].to_numpy()
-    sizes = np.array([len(s) for s in sets])
-    ends = np.cumsum(sizes)
-    _, found, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owners = np.repeat(np.arange(len(sets)), sizes)[np.argsort(found, kind="stable")]  # by shingle
-    begins = np.cumsum(often) - often
-    shared = np.add.reduceat((often[found] > 1).astype(np.int64), ends - sizes)
-    able = 100 * shared >= PERCENT * sizes  # an overlap is at least this share of either set
-    labels, counts = np.unique(comp, return_counts=True)
+    index, probes = np.flatnonzero(~probe), np.flatnonzero(probe)
+    none = pd.DataFrame([], columns=["u", "v"])
+    if not len(index) or not len(probes):
+        return none
+    sizes = np.array([len(sets[b]) for b in index])
+    flat = np.concatenate([sets[b] for b in index])
+    order = np.argsort(flat, kind="stable")
+    flat, owners = flat[order], np.repeat(np.arange(len(index)), sizes)[order]
     out = []
-    for a in np.flatnonzero(able & (comp != labels[counts.argmax()])):
-        mine = found[ends[a] - sizes[a] : ends[a]]
-        overlap = np.bincount(np.concatenate([owners[begins[s] : begins[s] + often[s]] for s in mine]), minlength=len(sets))
-        linked = (100 * overlap >= PERCENT * (sizes[a] + sizes - overlap)) & (comp != comp[a]) & ((block != block[a]) | (i == j))
-        partners = np.flatnonzero(linked)
+    for a in probes:
+        mine = sets[a]
+        begin, end = (np.searchsorted(flat, mine, side=side) for side in ("left", "right"))
+        often = end - begin
+        if 100 * np.count_nonzero(often) < PERCENT * len(mine):  # an overlap is at least this share of either set
+            continue
+        places = np.repeat(begin - (np.cumsum(often) - often), often) + np.arange(often.sum())
+        overlap = np.bincount(owners[places], minlength=len(index))
+        linked = (100 * overlap >= PERCENT * (len(mine) + sizes - overlap)) & (comp[index] != comp[a])
+        partners = index[np.flatnonzero(linked)]
         _, first = np.unique(comp[partners], return_index=True)
         out += [(max(ids[a], ids[b]), min(ids[a], ids[b])) for b in partners[first]]
-    return pd.DataFrame(out, columns=["u", "v"])
+    return pd.DataFrame(out, columns=["u", "v"]) if out else none
 
 
 def linked_components(reps: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -186,44 +196,62 @@ def linked_components(reps: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     found = settled(star_components(confirmed(tested, sets)))
     del tested
     release(reps.sparkSession)
-    labelled = members.filter("id != hub").join(found, "id", "left").select("key", "id", "size", F.coalesce("component_id", "id").alias("component_id"))
+    labelled = members.filter("id != hub").join(found, "id", "left").select("key", "id", "size", F.coalesce("component_id", "id").alias("component_id"), salt_of("id").alias("salt"))
     # all pairs with the hub are tested; open are buckets whose other members lie in two components
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
-    per_key = labelled.groupBy("key").agg(blocks.alias("blocks"), F.min("component_id").alias("a"), F.max("component_id").alias("b")).filter("a != b").select("key", "blocks")
-    open_ = labelled.join(per_key, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component_id")
-    full = dealt.join(sets.select("id", "hashes"), "id").groupBy("key", "i", "j")
+    per_salt = [F.count("*").alias("n"), F.sum("size").alias("s"), F.min("component_id").alias("a"), F.max("component_id").alias("b"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("first")]
+    per_key = [F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("a").alias("a"), F.max("b").alias("b"), F.bit_xor("x").alias("x"), F.min("first").alias("first")]
+    parts = labelled.groupBy("key", "salt").agg(*per_salt)
+    # of buckets with the same members, as bands of one group of near copies often have, one is searched
+    keys = parts.groupBy("key").agg(*per_key).filter("a != b").groupBy("n", "s", "x", "first").agg(F.min("key").alias("key")).select("key")
+    # members outside the largest component are the probes: each is held against all members once
+    weights = labelled.groupBy("key", "component_id").agg(F.count("*").alias("n"), F.sum("size").alias("s")).join(keys, "key")
+    largest = F.max(F.struct("n", "component_id", "s")).alias("top")
+    counted = weights.groupBy("key").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), largest)
+    blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    dealing = counted.select("key", F.col("top.component_id").alias("top"), blocks(F.col("n"), F.col("s")).alias("of_members"), blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("of_probes"))
+    open_ = labelled.join(parts.select("key", "salt").join(dealing, "key"), ["key", "salt"])
+    own = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    members_ = open_.select("key", own("of_members").alias("i"), every("of_probes").alias("j"), "id", "component_id", F.lit(False).alias("probe"))
+    probes = open_.filter("component_id != top").select("key", every("of_members").alias("i"), own("of_probes").alias("j"), "id", "component_id", F.lit(True).alias("probe"))
+    full = members_.unionByName(probes).join(sets.select("id", "hashes"), "id").groupBy("key", "i", "j")
     links = settled(full.applyInPandas(_cross_links, "u bigint, v bigint").distinct())
     if links.isEmpty():
         return found
     return star_components(found.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(links))
 
 
+def _labelled(rows: DataFrame, words: int) -> DataFrame:
+    """id, n_shingles and component_id of every row; rows: id, text."""
+    sketched = settled(sketch(rows, "text", words))
+    some = sketched.filter("id IS NOT NULL AND digest IS NOT NULL")
+    classed = grouped_back(some.select("id", "n_shingles", "digest").withColumn("salt", salt_of("id")), ["digest"], "salt", [F.min("id").alias("least")], [F.min("least").alias("rep")])
+    classed = settled(classed.select("id", "n_shingles", "rep", "salt"))
+    # the rows of representatives, found by id: a class's smallest id is one of its own
+    first = some.groupBy("digest").agg(F.min("id").alias("id"))
+    reps = some.select("id", "n_shingles", "digest", "bands").join(first, ["id", "digest"], "left_semi").select("id", "n_shingles", "bands")
+    found = linked_components(reps, rows, words).withColumnRenamed("id", "rep")
+    # a class of any size is dealt to as many tasks as it has salts
+    per_salt = classed.select("rep", "salt").distinct().join(found, "rep")
+    joined = classed.join(per_salt, ["rep", "salt"], "left").select("id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
+    return joined.unionByName(sketched.filter("id IS NULL OR digest IS NULL").select("id", "n_shingles", F.col("id").alias("component_id")))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """One row per row of df: id_col, n_shingles, component_id, kept.
 
     A-Z are lower-cased; words are runs without ASCII white space. A text of fewer words than a
     shingle has is one shingle; one without words (or NULL) is linked with nothing. The smallest id of a
     component is kept. Rows that repeat an id count as one document, each listed. A row without an id
-    is linked with nothing and kept. No row of an empty table. Other columns are ignored.
+    is linked with nothing and kept. No row of an empty table. Other columns, of any name, are ignored.
     """
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    sketched = settled(sketch(rows, "text", words))
-    some = sketched.filter("id IS NOT NULL AND digest IS NOT NULL")
-    classed = grouped_back(some.select("id", "n_shingles", "digest").withColumn("__salt", salt_of("id")), ["digest"], "__salt", [F.min("id").alias("__m")], [F.min("__m").alias("rep")])
-    classed = settled(classed.select("id", "n_shingles", "rep"))
-    # the rows of representatives, found by id: a class's smallest id is one of its own
-    first = some.groupBy("digest").agg(F.min("id").alias("id"))
-    reps = some.select("id", "n_shingles", "digest", "bands").join(first, ["id", "digest"], "left_semi").select("id", "n_shingles", "bands")
-    found = linked_components(reps, rows, words)
-    joined = classed.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
-    alone = sketched.filter("id IS NULL OR digest IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
-    every = joined.unionByName(alone)
+    plain, (own, text) = numbered(df, id_col, text_col)
+    every = _labelled(plain.select(F.col(own).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")), words)
     return every.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """The rows of df that stay: all but those linked to a smaller id."""
-    own = without(df, ["__maybe", "__word", "__mask", "__bits", "__gone"])
-    gone = settled(near_duplicates(own, id_col, text_col, words).filter("NOT kept").select(F.col(f"`{id_col}`").alias("gone")))
-    return drop_ids(own, id_col, gone)
+    """The rows of df that stay, with all their columns: all but those linked to a smaller id. Rows count as in near_duplicates()."""
+    plain, (own, text) = numbered(df, id_col, text_col)
+    every = _labelled(plain.select(F.col(own).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")), words)
+    return drop_ids(df, id_col, settled(every.filter("id != component_id").select("id")))
