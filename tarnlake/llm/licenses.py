@@ -1,10 +1,11 @@
 """License notices by conditional compression.
 
-A text that mentions licensing is compared with each notice word by word, its lines joined: the stretches in
-which all telling words of a notice are, and few others differ, are its blocks, wherever they stand in a line
-and on however many lines. A block is compressed alone and with the notice's wording as raw dictionary. The notice that makes its block smaller
-by most bytes is confirmed, its words are taken and the next one is looked for among the others, so that a
-text has as many notices as it holds. The differences are reported.
+Candidate blocks are the stretches of a text, lines joined, in which enough of a notice's words stand close
+together: as many as any confirmed wording has, so that no match is lost, wherever it stands in a line and on
+however many lines. Each block is compressed alone and with every notice as raw dictionary, and the notices are
+ranked by the bytes that they save. Those that make it smaller are confirmed by exact wording
+differences, word by word. The words of the notice that makes its wording smaller by most bytes are
+taken, and the next one is looked for among the others, so that a text has as many notices as it holds.
 """
 
 from __future__ import annotations
@@ -36,11 +37,19 @@ NOTICES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
 )
-#: Fixed cues, in lower case: a text without any has no notice. A notice that holds none adds some of its own words.
+#: One line tags of the same licenses.
+NOTICES += tuple((name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(name for name, _ in NOTICES))
+#: Fixed cues, in lower case, of lines that mention licensing. They are counted, no more.
 CUES = ("licen", "copyright", "public domain", "creative commons", "cc by", "cc0", "spdx", "permission is hereby")
-#: A notice must make its block smaller by this share, and other words may differ up to this share of the notice.
+#: A notice must make its wording smaller by this share; other words may differ up to this share of the notice.
 MIN_REDUCTION, MAX_DIFFERENT = 0.15, 0.34
+#: A word that at most so many licenses share may tell licenses apart.
+MOST_SHARED = 3
 LEVEL = 19
 RESULT = "n_blocks bigint, licenses array<string>, lines array<bigint>, reductions array<double>, differences array<string>"
 WORD = re.compile(r"[\w.+-]*\w")
@@ -60,23 +69,62 @@ class Notices:
         self.given = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options) for _, text in notices]
         used: dict[str, set[str]] = {}
         for name, words in self.notices:
-            for w in words:
+            for w in words if len(words) > 2 else ():
                 used.setdefault(w, set()).add(name)
         # words that not all licenses' notices share, and every number, tell licenses apart
-        most = max((len(s) for s in used.values()), default=0)
-        self.telling = {w for w, names in used.items() if len(names) <= most // 3 or any(map(str.isdigit, w))}
-        self.required = [self.telling.intersection(words) for _, words in self.notices]
-        self.most = [int(max(1, MAX_DIFFERENT * len(words))) for _, words in self.notices]
-        cues = [*CUES, *(w for k, (_, words) in enumerate(self.notices) if not any(cue in " ".join(words) for cue in CUES) for w in self.own_cues(k))]
-        self.cue_words = [cue.split() for cue in cues]
-        self.cue = re.compile("|".join(map(re.escape, cues)))
-
-    def own_cues(self, k: int) -> list[str]:
-        """Words of notice k of which every text that has its wording holds one."""
-        longest = sorted(set(self.notices[k][1]), key=lambda w: (-len(w), w))
-        telling = [w for w in longest if w in self.required[k] and not any(map(str.isdigit, w))]
-        # none of the telling words may be missing, and of the others no more than differ
-        return telling[:1] or longest[: self.most[k] + 1]
+        most = min(max((len(s) for s in used.values()), default=0) // 3, MOST_SHARED)
+        self.telling = {w for w, names in used.items() if len(names) <= most or any(map(str.isdigit, w))}
+        # a notice of a word or two must be there as it is
+        self.required = [self.telling.intersection(words) if len(words) > 2 else set(words) for _, words in self.notices]
+        self.most = [int(max(1, MAX_DIFFERENT * len(words))) if len(words) > 2 else 0 for _, words in self.notices]
+        self.distinct = [set(words) for _, words in self.notices]
+        self.reach = [len(words) + self.most[k] for k, (_, words) in enumerate(self.notices)]
+        self.cue_words = [cue.split() for cue in CUES]
+        self.cue = re.compile("|".join(map(re.escape, CUES)))
+
+    def possible(self, low: str) -> list[int]:
+        """The notices of which a lower-case text may have the wording: the needed words occur in it at all."""
+        out = []
+        for k, required in enumerate(self.required):
+            if all(w in low for w in required):
+                absent, most = 0, self.most[k]
+                for w in self.distinct[k]:
+                    absent += w not in low
+                    if absent > most:
+                        break
+                else:
+                    out.append(k)
+        return out
+
+    def blocks(self, words: list[str], possible: list[int]) -> list[tuple[int, int]]:
+        """Begin and end of the candidate blocks: where all words that a notice may not miss stand close enough together.
+
+        A block reaches as far around such a word as any wording that has it, so its size follows the notice's.
+        """
+        wanted = set().union(*(self.distinct[k] for k in possible))
+        where: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            if w in wanted:
+                where.setdefault(w, []).append(i)
+        spans = set()
+        for k in possible:
+            # a wording has every required word, and one at least of any words that are more than may be missing
+            rare = sorted(self.required[k] or self.distinct[k], key=lambda w: (len(where.get(w, ())), w))
+            rare = rare[:1] if self.required[k] else rare[: self.most[k] + 1]
+            need, reach = len(self.distinct[k]) - self.most[k], self.reach[k]
+            for i in sorted({i for w in rare for i in where.get(w, ())}):
+                begin, end = max(0, i - reach + 1), min(len(words), i + reach)
+                near = self.distinct[k].intersection(words[begin:end])
+                if len(near) >= need and self.required[k] <= near:
+                    spans.add((begin, end))
+        return sorted(spans)
+
+    def ranked(self, block: str) -> list[int]:
+        """The notices that make a block smaller, by the bytes they save."""
+        raw = block.encode("utf-8", "surrogatepass")
+        size = len(self.alone.compress(raw))
+        saved = [size - len(given.compress(raw)) for given in self.given]
+        return [k for k in sorted(range(len(saved)), key=lambda k: (-saved[k], k)) if saved[k] > 0]
 
     def reduction(self, k: int, block: str) -> tuple[int, float]:
         """The bytes by which notice k makes a block smaller, and their share."""
@@ -132,11 +180,11 @@ class Notices:
                 out.append((i, j, told))
         return out
 
-    def confirmed(self, text: str) -> list[tuple[str, int, float, str]]:
+    def confirmed(self, text: str, possible: list[int]) -> list[tuple[str, int, float, str]]:
         """(license, place, reduction, differences) of each notice of a lower-case text, in order.
 
-        The notice that makes its block smaller by most bytes comes first, and its words are taken;
-        notices that had some of them look again at the words left around.
+        The notice that makes its wording smaller by most bytes comes first, of equals the first of the
+        list, and its words are taken; notices that had some of them look again at the words left around.
         """
         met = list(WORD.finditer(text))
         words: list[str | None] = [m.group() for m in met]
@@ -151,16 +199,20 @@ class Notices:
                 seen.add((k, i, j))
                 saved, share = self.reduction(k, text[met[i].start() : met[j].end()])
                 if share >= MIN_REDUCTION:
-                    heapq.heappush(heap, (-saved, k, i, j, share, told))
+                    heapq.heappush(heap, (-saved, told.count(" ") + bool(told), k, i, j, share, told))
 
-        for k in range(len(self.notices)):
-            look(k, 0, len(words))
+        ranking: dict[str, list[int]] = {}
+        for begin, end in self.blocks(words, possible):
+            block = text[met[begin].start() : met[end - 1].end()]
+            if block not in ranking:
+                ranking[block] = self.ranked(block)
+            for k in ranking[block]:
+                look(k, begin, end)
         out = []
         while heap:
-            _, k, i, j, share, told = heapq.heappop(heap)
+            *_, k, i, j, share, told = heapq.heappop(heap)
             if None in words[i : j + 1]:
-                reach = len(self.notices[k][1]) + self.most[k]
-                look(k, max(0, i - reach), j + 1 + reach)
+                look(k, max(0, i - self.reach[k]), j + 1 + self.reach[k])
             else:
                 out.append((i, self.notices[k][0], met[i].start(), share, told))
                 words[i : j + 1] = [None] * (j + 1 - i)
@@ -174,7 +226,9 @@ class Notices:
         if not text:
             return 0, []
         low = text.lower()
-        if not any(all(map(low.__contains__, words)) for words in self.cue_words):
+        possible = self.possible(low)
+        cued = any(all(map(low.__contains__, words)) for words in self.cue_words)
+        if not possible and not cued:
             return 0, []
         lines, starts, joined, at = [], [], [], 0
         for line, part in enumerate(low.split("\n")):
@@ -185,10 +239,8 @@ class Notices:
                 at += len(part) + 1
         whole = " ".join(joined)
         line_of = lambda place: lines[bisect_right(starts, place) - 1]
-        n = len({line_of(m.start()) for m in self.cue.finditer(whole)})
-        if not n:
-            return 0, []
-        return n, [(name, line_of(place), share, told) for name, place, share, told in self.confirmed(whole)]
+        found = [(name, line_of(place), share, told) for name, place, share, told in self.confirmed(whole, possible)] if possible else []
+        return len({line_of(m.start()) for m in self.cue.finditer(whole)} | {line for _, line, _, _ in found}), found
 
 
 def notices(of: tuple[tuple[str, str], ...]) -> Notices:
@@ -198,8 +250,9 @@ def notices(of: tuple[tuple[str, str], ...]) -> Notices:
 def scan_licenses(df: DataFrame, text_col: str = "text", of: tuple[tuple[str, str], ...] = NOTICES, carry_text: bool = True) -> DataFrame:
     """df with n_blocks (lines that mention licensing) and, for each confirmed notice in order, licenses, lines, reductions, differences.
 
-    NULL and empty texts have none. Every row is scanned whole, repeated rows too; columns named like
-    a result are replaced.
+    NULL and empty texts have none. Every row is scanned whole, however long, repeated rows too; columns
+    named like a result are replaced. Of notices that fit the same words equally well the one that saves
+    most bytes counts, then the first of the list.
     """
     of = tuple(tuple(x) for x in of)
 
