@@ -26,19 +26,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import collection_bwt
-from .common import add_columns, filter_of, grouped_back, mapped, maybe_in, release, salt_of, settled, slices, text_of, without
+from .common import add_columns, filter_of, grouped_back, mapped, maybe_in, numbered, release, renamed, salt_of, settled, slices, text_of
 from .near_dedup import mixed
 
 #: Bytes of a passage, of an anchor, and anchors in a passage.
 SPAN, GRAM = 50, 16
 WIDTH = SPAN - GRAM + 1
 SIDE = (SPAN - GRAM + 1) // 2
-#: Bytes and documents that a task looks at together.
-CHUNK_BYTES, CHUNK_DOCS = 2_000_000, 1000
-#: Buckets for each shuffle partition.
-BUCKETS_PER_PARTITION = 2
+#: Bytes and documents whose anchors a task sends on together, and bytes hashed at once.
+CHUNK_BYTES, CHUNK_DOCS, HASHED_BYTES = 4_000_000, 2000, 400_000
+#: Bytes of text for each bucket, which bounds what a task holds of one, and buckets for each shuffle partition at least.
+BUCKET_BYTES, BUCKETS_PER_PARTITION = 8_000_000, 2
+#: Low bits of an anchor's hash that choose its bucket; the others tell anchors of a bucket apart.
+BUCKET_BITS = 24
 #: Fragments looked at together, and of these sorted together, unless one anchor has more.
-LOOK, COLLECTION = 40_000, 15_000
+LOOK, COLLECTION = 20_000, 8_000
+BUCKET_MASK = np.uint64((1 << BUCKET_BITS) - 1)
 SHIFT = bytes([*range(1, 256), 255])
 
 #: Records that travel between tasks.
@@ -78,8 +81,22 @@ def gram_hashes(buffer: np.ndarray) -> np.ndarray:
     return mixed(h)
 
 
-def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def anchor_runs(texts: list[bytes]) -> Runs:
     """Text, first passage, number of passages, hash and place in the first passage of each run with one anchor."""
+    parts, begin, size = [], 0, 0
+    for end, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= HASHED_BYTES or end == len(texts):
+            owner, *rest = _anchor_runs(texts[begin:end])
+            parts.append((owner + begin, *rest))
+            begin, size = end, 0
+    return tuple(map(np.concatenate, zip(*parts))) if parts else _anchor_runs([])
+
+
+def _anchor_runs(texts: list[bytes]) -> Runs:
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     buffer = np.frombuffer(b"".join(texts), np.uint8)
@@ -107,13 +124,13 @@ def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return owner, places[first] - (ends - sizes)[owner], np.diff(first, append=len(places)), hashes[at[first]], at[first] - places[first]
 
 
-def pieces(texts: Iterator[tuple], most: int = CHUNK_BYTES) -> Iterator[list[tuple]]:
+def pieces(texts: Iterator[tuple], most: int = CHUNK_BYTES, cut: int = HASHED_BYTES) -> Iterator[list[tuple]]:
     """Chunks of (id, content, offset, bytes); a long text is cut so that each passage lies in one piece."""
     chunk, size = [], 0
     for doc, content, text in texts:
         raw = (text or "").encode("utf-8", "surrogatepass")
-        for offset in range(0, max(len(raw) - SPAN + 1, 0), most):
-            part = raw[offset : offset + most + SPAN - 1]
+        for offset in range(0, max(len(raw) - SPAN + 1, 0), min(most, cut)):
+            part = raw[offset : offset + min(most, cut) + SPAN - 1]
             chunk.append((doc, content, offset, part))
             size += len(part)
             if size >= most or len(chunk) >= CHUNK_DOCS:
@@ -183,7 +200,7 @@ def _anchors(buckets: int):
             # of a content's copies, the one with the smallest id speaks
             head = np.flatnonzero(new_content)
             speaks = ids == ids[head][np.cumsum(new_content) - 1]
-            bucket = ((hashes & np.uint64(0xFFFF)) % np.uint64(buckets)).astype(np.int32)
+            bucket = ((hashes & BUCKET_MASK) % np.uint64(buckets)).astype(np.int32)
             out = []
             single = np.flatnonzero(~several & speaks)
             single = single[np.lexsort((start[single], owner[single]))]
@@ -199,7 +216,7 @@ def _anchors(buckets: int):
             records = np.zeros(len(found), CAND)
             for name, values in (("id", ids), ("content", content), ("start", start), ("n", n), ("at", at)):
                 records[name] = values[found]
-            records["hash"] = hashes[found] >> np.uint64(24) << np.uint64(16) | bucket[found].astype(np.uint64)
+            records["hash"] = hashes[found] >> np.uint64(24) << np.uint64(BUCKET_BITS) | bucket[found].astype(np.uint64)
             out += [(k, FOUND, None, packed(r)) for k, r in _parted(_destination(records, buckets), records)]
             yield _batch(ANCHOR_ROWS, out)
 
@@ -225,7 +242,7 @@ def _repeated(buckets: int):
             several = np.minimum.reduceat(records["content"], cut) < np.maximum.reduceat(records["content"], cut)
             several |= np.isin(h[cut], keys)
             records = records[np.repeat(several, np.diff(cut, append=len(records)))].copy()
-            records["hash"] = records["hash"] << np.uint64(16) | np.uint64(current)
+            records["hash"] = records["hash"] << np.uint64(BUCKET_BITS) | np.uint64(current)
             records = records[np.lexsort((records["start"], records["content"], records["id"]))]
             return [(k, SINGLE, None, None, packed(r)) for k, r in _parted(_destination(records, buckets), records)]
 
@@ -272,7 +289,7 @@ def _pressed(buckets: int):
     """Texts by destination, compressed: as they are, they would be the largest shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=5)
         for batch in slices(batches):
             rows = zip(*[c.to_pylist() for c in batch.columns])
             yield _batch(DEALT, [(((doc ^ content) & 0x7FFFFFFF) % buckets, KNOWN, doc, content, press.compress(text.encode("utf-8", "surrogatepass"))) for doc, content, text in rows])
@@ -291,7 +308,7 @@ def _fragments(buckets: int):
         out = [(k, FOUND, packed(r), None) for k, r in _parted(_destination(found, buckets), found)]
         press = zstandard.ZstdCompressor(level=6)
         mine = np.flatnonzero(~later)
-        for k, picks in _parted(records["hash"][mine] & np.uint64(0xFFFF), mine):
+        for k, picks in _parted(records["hash"][mine] & BUCKET_MASK, mine):
             out.append((k, SINGLE, packed(records[picks]), press.compress(b"".join([fragments[i] for i in picks.tolist()]))))
         return _batch(FRAGMENT_ROWS, out)
 
@@ -469,7 +486,9 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _passage_spans(long_: DataFrame) -> DataFrame:
     """id, content and spans of the texts that have passages of documents with smaller ids, in one plan."""
-    buckets = min(BUCKETS_PER_PARTITION * int(long_.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
+    size = long_.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    partitions = int(long_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(max(BUCKETS_PER_PARTITION * partitions, -(-size // BUCKET_BYTES)), 1 << BUCKET_BITS)
     anchors = mapped(long_, _anchors(buckets), ANCHOR_ROWS)
     candidates = mapped(anchors.repartition("bucket").sortWithinPartitions("bucket"), _repeated(buckets), DEALT)
     texts = mapped(long_, _pressed(buckets), DEALT)
@@ -522,22 +541,21 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     NULL text is empty. Rows of equal id don't remove each other's passages; those that repeat a text
     too get equal answers. Rows without an id stay whole and remove nothing. No row of an empty table.
-    Columns named like a result are replaced. What is left may cut a character in two; as_text gives
-    kept_text instead, without such halves.
+    Columns named like a result are replaced, others may have any name. What is left may cut a character
+    in two; as_text gives kept_text instead, without such halves.
     """
-    own = without(df, ["n_bytes", "n_removed", "spans", "kept_bytes", "kept_text", "__content", "__maybe", "__id", "__whole", "__spans"])
-    tagged = own.withColumn("__id", F.col(f"`{id_col}`").cast("bigint")).withColumn("__content", F.xxhash64(text_of(text_col)))
-    found = settled(repeated_spans(tagged.filter("__id IS NOT NULL").select(F.col("__id").alias("id"), F.col("__content").alias("content"), text_of(text_col).alias("text"))))
+    rows, (own, text) = numbered(df, id_col, text_col)
+    tagged = rows.withColumn("id", F.col(own).cast("bigint")).withColumn("content", F.xxhash64(text_of(text)))
+    found = settled(repeated_spans(tagged.filter("id IS NOT NULL").select("id", "content", text_of(text).alias("text"))))
     release(df.sparkSession)
     key = lambda a, b: F.xxhash64(a, b)
-    told = maybe_in(tagged, key("__id", "__content"), filter_of(found.select(key("id", "content").alias("k")), "k"), "__maybe")
-    plain = told.filter("NOT __maybe").drop("__maybe").withColumn("__whole", F.lit(None).cast("bigint")).withColumn("__spans", F.lit(None).cast("binary"))
-    side = found.select(F.col("id").alias("__id"), F.col("content").alias("__content"), F.col("whole").alias("__whole"), F.col("spans").alias("__spans"))
-    cut = told.filter("__maybe").drop("__maybe").join(side, ["__id", "__content"], "left").select(*[F.col(f"`{c}`") for c in plain.columns])
-    rows = plain.unionByName(cut).drop("__id", "__content")
+    told = maybe_in(tagged, key("id", "content"), filter_of(found.select(key("id", "content").alias("k")), "k"), "maybe")
+    plain = told.filter("NOT maybe").drop("maybe").withColumn("whole", F.lit(None).cast("bigint")).withColumn("spans", F.lit(None).cast("binary"))
+    cut = told.filter("maybe").drop("maybe").join(found, ["id", "content"], "left").select(*plain.columns)
     cut_text = lambda batch: (lambda c: [*c[:3], pa.array([b.decode("utf-8", "ignore") for b in c[3].to_pylist()], pa.string())])(_cut(batch))
     fn, out = (cut_text, OUT.replace("kept_bytes binary", "kept_text string")) if as_text else (_cut, OUT)
-    return add_columns(rows, fn, out, [text_col, "__whole", "__spans"], carry=carry_text).drop("__whole", "__spans")
+    results = ["n_bytes", "n_removed", "spans", "kept_text" if as_text else "kept_bytes"]
+    return renamed(add_columns(plain.unionByName(cut), fn, out, [text, "whole", "spans"], carry=carry_text), df.columns, results, [] if carry_text else [df.columns[int(text)]])
 
 
 def digest(df: DataFrame) -> DataFrame:
