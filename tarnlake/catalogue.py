@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import operators as op
+from . import sources
 from .functions import days_between
+from .plans import publish
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,7 +31,80 @@ def _stats(s: SparkSession, d: str) -> DataFrame:
 def _lead_times(s: SparkSession, d: str) -> DataFrame:
     orders = table(s, d, "orders").select("o_orderkey", "o_orderdate")
     lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate")
-    return op.frequency(lines.join(orders, "o_orderkey").select(days_between("o_orderdate", "l_shipdate").alias("days")), "days")
+    return lines.join(orders, "o_orderkey").select(days_between("o_orderdate", "l_shipdate").alias("days"))
+
+
+def _lead_time_summary(s: SparkSession, d: str) -> DataFrame:
+    told = op.describe_numeric(_lead_times(s, d), ["days"], quartiles="exact")
+    return told.select("column", "n", F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"), "min_value", "p25", "p50", "p75", "max_value")
+
+
+def _csv_scan(s: SparkSession, d: str) -> DataFrame:
+    """nation written as CSV and read back by name, with inferred types."""
+    folder = sources.scratch_folder(s)
+    table(s, d, "nation").write.csv(f"{folder}/nation.csv", header=True)
+    return sources.read_tables(s, folder, ["nation"])["nation"]
+
+
+def _csv_told(s: SparkSession, d: str) -> DataFrame:
+    folder = sources.scratch_folder(s)
+    table(s, d, "customer").write.csv(f"{folder}/customer.csv", header=True)
+    return sources.read_csv(s, f"{folder}/customer.csv", "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+
+
+def _snapshots(s: SparkSession, d: str) -> str:
+    """Two snapshots of a lake, of which only the older one has region."""
+    folder = sources.scratch_folder(s)
+    table(s, d, "nation").limit(3).write.parquet(f"{folder}/2024/01/01/100000/nation.parquet")
+    table(s, d, "region").write.parquet(f"{folder}/2024/01/01/100000/region.parquet")
+    table(s, d, "nation").write.parquet(f"{folder}/2024/01/02/090000/nation.parquet")
+    return folder
+
+
+def _snapshot_names(s: SparkSession, d: str) -> DataFrame:
+    folder = _snapshots(s, d)
+    return sources.from_rows(s, [("nation", sources.latest_snapshot(s, folder, "nation.parquet")), ("region", sources.latest_snapshot(s, folder, "region.parquet"))], "name string, folder string")
+
+
+def _listing(s: SparkSession, d: str) -> DataFrame:
+    return sources.directory_listing(s, f"{_snapshots(s, d)}/2024/01").select("name", "is_directory")
+
+
+def _containers(s: SparkSession, d: str) -> DataFrame:
+    return sources.container_listing(s, _snapshots(s, d))
+
+
+def _inventory(s: SparkSession, d: str) -> DataFrame:
+    """The tables that hold the files of the data folder, and whether all their files have bytes."""
+    name = F.regexp_extract("path", r"/([a-z]+)\.parquet(/|$)", 1)
+    return sources.list_files(s, d).groupBy(name.alias("name")).agg((F.min("length") > 0).alias("filled"))
+
+
+def _database(s: SparkSession, d: str) -> str:
+    """An embedded database in this process's memory, with nation published twice."""
+    url = f"jdbc:derby:memory:d{uuid.uuid4().hex};create=true"
+    for _ in range(2):
+        publish(s, {"nation": table(s, d, "nation")}, url)
+    return url
+
+
+def _published(s: SparkSession, d: str) -> DataFrame:
+    url = f"jdbc:derby:memory:d{uuid.uuid4().hex};create=true"
+    return publish(s, {n: table(s, d, n) for n in ("nation", "region", "supplier")}, url, connections=4, batch_size=500, attempts=2)
+
+
+def _jdbc_parts(s: SparkSession, d: str) -> DataFrame:
+    return sources.read_jdbc(s, _database(s, d), "nation", parts=sources.Parts("n_nationkey", 0, 25, 4), fetch_size=100)
+
+
+def _jdbc_where(s: SparkSession, d: str) -> DataFrame:
+    found = sources.read_jdbc(s, _database(s, d), query='SELECT "n_name", "n_regionkey" FROM nation')
+    return found.filter("n_regionkey = 1")
+
+
+def _schemas(s: SparkSession, d: str) -> DataFrame:
+    url = _database(s, d)
+    return sources.from_rows(s, [(n, sources.schema_exists(s, url, n, "derby")) for n in ("APP", "NOPE")], "name string, found boolean")
 
 
 def _top_customer(s: SparkSession, d: str) -> DataFrame:
@@ -55,7 +131,25 @@ QUERIES: dict[str, Query] = {
     "category_report": lambda s, d: op.category_report(table(s, d, "supplier").withColumnRenamed("s_nationkey", "n_nationkey"), table(s, d, "nation"), "n_nationkey", "n_name"),
     "left_join_null_group": lambda s, d: op.frequency(_labelled(s, d), "quality"),
     "date_range": lambda s, d: op.value_range(table(s, d, "orders"), "o_orderdate", "first_order", "last_order"),
-    "lead_time_days": _lead_times,
+    "lead_time_days": lambda s, d: op.frequency(_lead_times(s, d), "days"),
+    "lead_time_summary": _lead_time_summary,
+    "describe_strings": lambda s, d: op.describe_strings(table(s, d, "customer")),
+    "table_profile": lambda s, d: op.table_profile(table(s, d, "lineitem").select("l_partkey", "l_quantity", "l_returnflag")),
+    "document_profile": lambda s, d: op.column_profile(table(s, d, "documents")).drop("type"),
+    "duplicate_documents": lambda s, d: op.duplicate_rows(table(s, d, "documents").drop("doc_id")),
+    "distinct_by_column": lambda s, d: op.distinct_counts(table(s, d, "part"), how="by_column"),
+    "mean_by_segment": lambda s, d: op.grouped_stats(table(s, d, "customer"), "c_mktsegment", "c_acctbal", order_by="avg_value", round_all=False),
+    "csv_scan": _csv_scan,
+    "csv_with_schema": _csv_told,
+    "snapshot_scan": lambda s, d: sources.read_snapshot(s, _snapshots(s, d), "nation.parquet"),
+    "snapshot_names": _snapshot_names,
+    "directory_listing": _listing,
+    "container_listing": _containers,
+    "file_inventory": _inventory,
+    "publish": _published,
+    "jdbc_partitions": _jdbc_parts,
+    "jdbc_where": _jdbc_where,
+    "schema_exists": _schemas,
     "top_customer": _top_customer,
     "orphans": lambda s, d: op.orphans(table(s, d, "documents").select("doc_id"), table(s, d, "labels"), "doc_id"),
     "matched": lambda s, d: op.matched(table(s, d, "documents").select("doc_id"), table(s, d, "labels"), "doc_id"),
@@ -101,6 +195,24 @@ ORACLES: dict[str, str] = {
     "left_join_null_group": f"SELECT quality, count(*) AS n FROM {_LABELLED} GROUP BY 1",
     "date_range": "SELECT min(o_orderdate) AS first_order, max(o_orderdate) AS last_order FROM orders",
     "lead_time_days": "SELECT CAST(date_diff('day', o_orderdate::DATE, l_shipdate::DATE) AS INTEGER) AS days, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
+    "lead_time_summary": "SELECT 'days' AS \"column\", count(*) AS n, round(avg(d), 4) AS mean, round(stddev_samp(d), 4) AS stddev, min(d) AS min_value, quantile_disc(d, 0.25) AS p25, quantile_disc(d, 0.5) AS p50, quantile_disc(d, 0.75) AS p75, max(d) AS max_value FROM (SELECT CAST(date_diff('day', o_orderdate::DATE, l_shipdate::DATE) AS DOUBLE) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
+    "describe_strings": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, min({c}) AS min_value, max({c}) AS max_value FROM customer" for c in ("c_name", "c_mktsegment")),
+    "table_profile": "SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(3 AS INTEGER) AS columns, CAST(sum(n) - count(*) AS BIGINT) AS duplicates, CAST(0 AS BIGINT) AS all_null FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey, l_quantity, l_returnflag)",
+    "document_profile": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", (SELECT count(*) - count({c}) FROM documents) AS nulls, CAST(NULL AS BIGINT) AS nans, {_distinct(c, 'documents').replace(' FROM', ' AS \"distinct\" FROM', 1)}" for c in ("doc_id", "text", "lang", "source", "n_chars")),
+    "duplicate_documents": "SELECT total, \"distinct\", total - \"distinct\" AS duplicates FROM (SELECT (SELECT count(*) FROM documents) AS total, (SELECT count(*) FROM (SELECT DISTINCT text, lang, source, n_chars FROM documents)) AS \"distinct\")",
+    "distinct_by_column": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n FROM (SELECT DISTINCT {c} FROM part)" for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")),
+    "mean_by_segment": "SELECT c_mktsegment, count(*) AS quantity, round(avg(c_acctbal), 2) AS avg_value, min(c_acctbal) AS min_value, max(c_acctbal) AS max_value FROM customer GROUP BY 1 ORDER BY avg_value DESC",
+    "csv_scan": "SELECT * FROM nation",
+    "csv_with_schema": "SELECT * FROM customer",
+    "snapshot_scan": "SELECT * FROM nation",
+    "snapshot_names": "SELECT * FROM (VALUES ('nation', '2024/01/02/090000'), ('region', '2024/01/01/100000')) t(name, folder)",
+    "directory_listing": "SELECT * FROM (VALUES ('01', true), ('02', true)) t(name, is_directory)",
+    "container_listing": "SELECT '2024' AS name",
+    "file_inventory": "SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS name, true AS filled",
+    "publish": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS source_rows, count(*) AS sink_rows, true AS matches FROM {t}" for t in ("nation", "region", "supplier")),
+    "jdbc_partitions": "SELECT * FROM nation",
+    "jdbc_where": "SELECT n_name, n_regionkey FROM nation WHERE n_regionkey = 1",
+    "schema_exists": "SELECT * FROM (VALUES ('APP', true), ('NOPE', false)) t(name, found)",
     "top_customer": "WITH top AS (SELECT o_custkey AS c_custkey, count(*) AS total FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1 ORDER BY total DESC, c_custkey LIMIT 1) SELECT top.c_custkey, total, c.c_custkey IS NOT NULL AS \"exists\", c.c_name FROM top LEFT JOIN customer c ON c.c_custkey = top.c_custkey",
     "orphans": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "matched": "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",

@@ -38,14 +38,19 @@ def global_stats(df: DataFrame, column: str, digits: int = 2) -> DataFrame:
     return df.agg(F.min(c).alias("min_value"), F.max(c).alias("max_value"), F.round(F.avg(c), digits).alias("avg_value"))
 
 
-def grouped_stats(df: DataFrame, key: str, column: str, digits: int = 2, with_total: bool = False) -> DataFrame:
-    """quantity, avg, min, max (and total) of a column for each key, largest group first."""
+def grouped_stats(df: DataFrame, key: str, column: str, digits: int = 2, with_total: bool = False, order_by: str = "quantity", round_all: bool = True) -> DataFrame:
+    """quantity, avg, min, max (and total) of a column for each key, the largest of the result column order_by first.
+
+    round_all=False rounds the mean only.
+    """
     require_columns(df, [key, column])
+    if order_by not in ("quantity", "total", "avg_value", "min_value", "max_value") or order_by == "total" and not with_total:
+        raise ValueError(f"no result column {order_by} to order by")
     c = named(column)
-    rounded = lambda x, name: F.round(x, digits).alias(name)
+    rounded = lambda x, name: (F.round(x, digits) if round_all or name == "avg_value" else x).alias(name)
     total = [rounded(F.sum(c), "total")] if with_total else []
     stats = [F.count("*").alias("quantity"), *total, rounded(F.avg(c), "avg_value"), rounded(F.min(c), "min_value"), rounded(F.max(c), "max_value")]
-    return df.groupBy(named(key)).agg(*stats).orderBy(F.desc("quantity"), named(key))
+    return df.groupBy(named(key)).agg(*stats).orderBy(F.desc(order_by), named(key))
 
 
 def top_key(df: DataFrame, key: str, count_name: str = "total") -> DataFrame:

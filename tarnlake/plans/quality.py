@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.profile import all_null_rows, column_profile, duplicate_rows, volume
+from ..operators.profile import column_profile, table_profile
 
 
 def profile_all(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
@@ -20,6 +20,6 @@ def profile_all(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     if not tables:
         raise ValueError("no tables to profile")
     named = lambda df, name: df.select(F.lit(name).alias("table"), "*")
-    shape = [named(volume(df).crossJoin(duplicate_rows(df).select("duplicates")).crossJoin(all_null_rows(df).withColumnRenamed("n", "all_null")), n) for n, df in tables.items()]
+    shape = [named(table_profile(df), n) for n, df in tables.items()]
     columns = [named(column_profile(df), n) for n, df in tables.items()]
     return {"tables": reduce(DataFrame.unionByName, shape), "columns": reduce(DataFrame.unionByName, columns)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,17 @@ def list_files(spark: SparkSession, base: str, options: Options = None) -> DataF
     return files.select("path", "length", F.col("modificationTime").alias("modified"))
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name below spark.checkpoint.dir, which all executors share; where that is unset, below a temporary folder if this is the only machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
 def directory_listing(spark: SparkSession, path: str) -> DataFrame:
     """The entries directly below path: name, is_directory and length."""
     jvm = spark.sparkContext._jvm

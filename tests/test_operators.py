@@ -111,3 +111,47 @@ def test_reconcile_and_profile_all(spark):
     got = profile_all({"a": a, "b": b})
     assert {(r["table"], r["rows"], r["duplicates"]) for r in got["tables"].collect()} == {("a", 3, 0), ("b", 2, 0)}
     assert got["columns"].count() == 2
+
+
+def test_exact_quantiles_of_odd_values(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 0.0, -0.0, 1.5, rng.random() * 1e6, rng.gauss(0, 1), float("nan")]), rng.randrange(3), None) for _ in range(30_000)]
+    df = spark.createDataFrame(rows, "x double, `odd.name` int, none double")
+    got = {(r["column"], r["point"]): r["value"] for r in op.exact_quantiles(df, ["x", "odd.name", "none"], [0.0, 0.25, 0.5, 0.999, 1.0]).collect()}
+    for i, c in enumerate(["x", "odd.name", "none"]):
+        values = sorted((r[i] for r in rows if r[i] is not None), key=lambda v: (v != v, v))
+        for p in (0.0, 0.25, 0.5, 0.999, 1.0):
+            want = values[max(0, -(-len(values) * int(p * 1000) // 1000) - 1)] if values else None
+            assert got[c, p] == want or got[c, p] != got[c, p] and want != want, (c, p)
+    assert {r["value"] for r in op.exact_quantiles(df.limit(0), ["x"], [0.5]).collect()} == {None}
+
+
+def test_distinct_counts_each_way(spark):
+    df = spark.createDataFrame([(None, "a"), (1, "a"), (1, None), (2, "b")], "k int, s string")
+    want = {("k", 3), ("s", 3)}
+    for how in ("together", "by_column", "approx"):
+        assert {tuple(r) for r in op.distinct_counts(df, how=how).collect()} == want
+        assert {tuple(r) for r in op.distinct_counts(df.limit(0), how=how).collect()} == {("k", 0), ("s", 0)}
+    with pytest.raises(ValueError):
+        op.distinct_counts(df, how="guess")
+
+
+def test_strings_and_table_profile(spark):
+    df = spark.createDataFrame([("b", None), ("a", None), (None, None), ("b", None)], "s string, n int")
+    assert op.describe_strings(df).collect() == [("s", 3, "a", "b")]
+    assert op.describe_strings(df.select("n")).count() == 0
+    assert one(op.table_profile(df)) == {"rows": 4, "columns": 2, "duplicates": 1, "all_null": 1}
+    assert one(op.table_profile(df.limit(0))) == {"rows": 0, "columns": 2, "duplicates": 0, "all_null": 0}
+    assert one(op.table_profile(spark.range(3).select()))["all_null"] == 0
+
+
+def test_grouped_report_by_mean(spark):
+    df = spark.createDataFrame([("a", 1.005), ("a", 1.004), ("b", 9.123), ("c", 5.555), ("c", 5.0), ("c", 5.1)], "s string, p double")
+    got = op.grouped_stats(df, "s", "p", order_by="avg_value", round_all=False).collect()
+    assert [r["s"] for r in got] == ["b", "c", "a"] and [r["avg_value"] for r in got] == [9.12, 5.22, 1.0]
+    assert got[0]["min_value"] == 9.123 and got[1]["max_value"] == 5.555
+    assert [r["s"] for r in op.grouped_stats(df, "s", "p").collect()] == ["c", "a", "b"]
+    with pytest.raises(ValueError):
+        op.grouped_stats(df, "s", "p", order_by="total")

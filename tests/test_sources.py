@@ -51,6 +51,17 @@ def test_jdbc_round_trip(spark, tmp_path):
         sources.read_jdbc(spark, url)
 
 
+def test_jdbc_in_parts(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.range(1000).selectExpr("id - 10 AS id", "CAST(id AS string) AS s").union(spark.createDataFrame([(None, "none")], "id bigint, s string"))
+    assert publish(spark, {"big": rows}, url, connections=3, batch_size=100, attempts=2).collect() == [("big", 1001, 1001, True)]
+    for how in ({"table": "big"}, {"query": 'SELECT "id", "s" FROM big'}):
+        back = sources.read_jdbc(spark, url, **how, parts=sources.Parts("id", 0, 900, 4), fetch_size=50)
+        assert back.rdd.getNumPartitions() == 4 and sorted(back.collect(), key=repr) == sorted(rows.collect(), key=repr)
+    with pytest.raises(Exception, match="(?i)no suitable driver|not found|refused"):
+        publish(spark, {"big": rows}, "jdbc:nothing:x", attempts=2)
+
+
 def test_config(tmp_path):
     with pytest.raises(config.MissingSettings, match="DB_DATABASE, DB_PASSWORD"):
         config.Database.from_env({"DB_HOST": "h", "DB_USER": "u"})
