@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped_back, salt_of, settled
+from .common import grouped_back, release, salt_of, settled
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -38,4 +38,7 @@ def star_components(links: DataFrame) -> DataFrame:
         before, mark = mark, _mark(edges)
         if mark == before:
             break
+        # what earlier rounds shuffled isn't needed again, and with many partitions it fills disks
+        del both, large, lower, small, moved
+        release(links.sparkSession)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())

@@ -216,6 +216,8 @@ def linked_components(reps: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     probes = open_.filter("component_id != top").select("key", every("of_members").alias("i"), own("of_probes").alias("j"), "id", "component_id", F.lit(True).alias("probe"))
     full = members_.unionByName(probes).join(sets.select("id", "hashes"), "id").groupBy("key", "i", "j")
     links = settled(full.applyInPandas(_cross_links, "u bigint, v bigint").distinct())
+    del labelled, parts, keys, weights, counted, dealing, open_, members_, probes, full
+    release(reps.sparkSession)
     if links.isEmpty():
         return found
     return star_components(found.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(links))
@@ -227,6 +229,7 @@ def _labelled(rows: DataFrame, words: int) -> DataFrame:
     some = sketched.filter("id IS NOT NULL AND digest IS NOT NULL")
     classed = grouped_back(some.select("id", "n_shingles", "digest").withColumn("salt", salt_of("id")), ["digest"], "salt", [F.min("id").alias("least")], [F.min("least").alias("rep")])
     classed = settled(classed.select("id", "n_shingles", "rep", "salt"))
+    release(rows.sparkSession)
     # the rows of representatives, found by id: a class's smallest id is one of its own
     first = some.groupBy("digest").agg(F.min("id").alias("id"))
     reps = some.select("id", "n_shingles", "digest", "bands").join(first, ["id", "digest"], "left_semi").select("id", "n_shingles", "bands")
