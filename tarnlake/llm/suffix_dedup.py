@@ -3,10 +3,13 @@
 A passage of SPAN bytes that also starts in a document with a smaller id is removed. To bring equal
 passages together without shuffling every suffix, each passage is given an anchor: the least hash
 of its GRAM-byte strings, which its content alone decides. Anchors met in one content only are done
-with. For the others, runs of passages with one anchor go, as fragments, to the bucket of the anchor.
+with. For the others, runs of passages with one anchor are cut by context (the anchor with as many bytes
+on one side as all of the run's passages have there) and go, as fragments, to the bucket of the context:
+a short line met everywhere is one anchor, but has as many contexts as neighbours.
 A bucket sorts the suffixes of all its different fragments by the column-wise construction of their
 Burrows-Wheeler transform with common prefixes (bwt.py): neighbours that share SPAN bytes are equal
-passages, and the smallest id of each group decides.
+passages, and the smallest id of each group decides. Where one context has too many fragments to be
+sorted together, equal passages are told by their distance from the anchor and their bytes.
 
 Copies of a whole content cost little: they are judged by a digest. Hot anchors and fragments are
 combined before anything shuffles. Buckets come sorted, one at a time; the sequences of the
@@ -16,11 +19,11 @@ capped.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +40,9 @@ SIDE = (SPAN - GRAM + 1) // 2
 CHUNK_BYTES, CHUNK_DOCS, HASHED_BYTES = 4_000_000, 2000, 400_000
 #: Bytes of text for each bucket, which bounds what a task holds of one, and buckets for each shuffle partition at least.
 BUCKET_BYTES, BUCKETS_PER_PARTITION = 8_000_000, 2
-#: Low bits of an anchor's hash that choose its bucket; the others tell anchors of a bucket apart.
+#: Low bits of a hash of an anchor or a context that choose its bucket; the others tell those of a bucket apart.
 BUCKET_BITS = 24
-#: Fragments looked at together, and of these sorted together, unless one anchor has more.
+#: Fragments looked at together, unless one context has more, and of these sorted together.
 LOOK, COLLECTION = 20_000, 8_000
 BUCKET_MASK = np.uint64((1 << BUCKET_BITS) - 1)
 SHIFT = bytes([*range(1, 256), 255])
@@ -297,17 +300,53 @@ def _pressed(buckets: int):
     return run
 
 
+def by_context(records: np.ndarray, fragments: list[bytes], buckets: int) -> tuple[np.ndarray, list[bytes]]:
+    """Fragments cut into runs of passages with one context, whose hash and bucket replace those of the anchor.
+
+    A passage has SIDE bytes before its anchor (where that stands in it first), or more than SIDE after it.
+    These with the anchor are its context: the passage alone decides it, so equal passages meet.
+    """
+    owner, begin, n, at, hashes, cut = [], [], [], [], [], []
+    for i, (raw, place, count) in enumerate(zip(fragments, records["at"].tolist(), records["n"].tolist())):
+        gram, first = raw[place : place + GRAM], 0
+        while first < count:
+            here = raw.find(gram, first)
+            end = min(here + 1, count)
+            middle = min(max(here + 1 - SIDE, first), end)
+            for a, b, context in ((first, middle, slice(here - SIDE, here + GRAM)), (middle, end, slice(here, here + GRAM + SIDE + 1))):
+                if a < b:
+                    owner.append(i)
+                    begin.append(a)
+                    n.append(b - a)
+                    at.append(here - a)
+                    hashes.append(xxhash.xxh3_64_intdigest(raw[context]))
+                    cut.append(raw[a : b + SPAN - 1])
+            first = end
+    out = records[np.array(owner, np.int64)]
+    out["start"] += np.array(begin, np.uint32)
+    out["n"], out["at"] = n, at
+    whole = np.array(hashes, np.uint64)
+    out["hash"] = whole & ~BUCKET_MASK | (whole & BUCKET_MASK) % np.uint64(buckets)
+    return out, cut
+
+
 def _fragments(buckets: int):
     """Texts that meet their candidates to fragments by bucket; of equal fragments in a chunk one is sent, the later ids' are covered."""
 
     def emitted(held: list[np.ndarray], fragments: list[bytes]) -> pa.RecordBatch:
-        records = np.concatenate(held)
-        which, least, _ = _least(records["id"], fragments)
-        later = records["id"] > least[which]
-        found = _as_cover(records[later])
-        out = [(k, FOUND, packed(r), None) for k, r in _parted(_destination(found, buckets), found)]
+        records, found = np.concatenate(held), []
+        for cut in (False, True):  # equal whole runs first: they are the most
+            if cut:
+                records, fragments = by_context(records, fragments, buckets)
+            which, least, _ = _least(records["id"], fragments)
+            later = records["id"] > least[which]
+            found.append(_as_cover(records[later]))
+            mine = np.flatnonzero(~later)
+            if not cut:
+                records, fragments = records[mine], [fragments[i] for i in mine.tolist()]
+        covered = np.concatenate(found)
+        out = [(k, FOUND, packed(r), None) for k, r in _parted(_destination(covered, buckets), covered)]
         press = zstandard.ZstdCompressor(level=6)
-        mine = np.flatnonzero(~later)
         for k, picks in _parted(records["hash"][mine] & BUCKET_MASK, mine):
             out.append((k, SINGLE, packed(records[picks]), press.compress(b"".join([fragments[i] for i in picks.tolist()]))))
         return _batch(FRAGMENT_ROWS, out)
@@ -373,33 +412,43 @@ def _earlier(chosen: np.ndarray, different: list[bytes], least: np.ndarray) -> t
     return chosen[owner[fresh]], start[fresh], np.diff(fresh, append=len(owner))
 
 
+def _by_distance(chosen: np.ndarray, different: list[bytes], least: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for one context's fragments, however many: equal passages have equal bytes at an equal distance from the anchor."""
+    passages = np.array([len(different[i]) - SPAN + 1 for i in chosen.tolist()])
+    out = []
+    for distance in range(WIDTH):
+        start = place[chosen] - distance
+        some = np.flatnonzero((start >= 0) & (start < passages))
+        if not len(some):
+            continue
+        picks, start = chosen[some], start[some]
+        bytes_ = b"".join([different[i][a : a + SPAN] for i, a in zip(picks.tolist(), start.tolist())])
+        _, which = np.unique(np.frombuffer(bytes_, f"V{SPAN}"), return_inverse=True)
+        lowest = np.full(int(which.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(lowest, which, least[picks])
+        hit = lowest[which] < least[picks]
+        out.append((picks[hit], start[hit], np.ones(np.count_nonzero(hit), np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def covered_runs(records: np.ndarray, fragments: list[bytes]) -> np.ndarray:
     """The runs of passages (COVER) of one bucket's fragments that start in a document with a smaller id."""
     which, least, different = _least(records["id"], fragments)
     later = records["id"] > least[which]
     out = [_as_cover(records[later])]
-    # an anchor with a single fragment has no other passage to compare
-    hashes = np.zeros(len(different), np.uint64)
-    hashes[which] = records["hash"]
+    # a context with a single fragment has no other passage to compare
+    hashes, place = np.zeros(len(different), np.uint64), np.zeros(len(different), np.int64)
+    hashes[which], place[which] = records["hash"], records["at"]
     _, group, variants = np.unique(hashes, return_inverse=True, return_counts=True)
     open_ = np.flatnonzero(variants[group] > 1)
-    # a passage has SIDE more bytes on one side of its anchor at least: a fragment that shares neither side
-    # shares no passage, unless the anchor's bytes occur in it again, when the places may differ
-    place = np.zeros(len(different), np.int64)
-    place[which] = records["at"]
-    contexts = []
-    for i, at in zip(open_.tolist(), place[open_].tolist()):
-        raw = different[i]
-        gram = raw[at : at + GRAM]
-        again = raw.find(gram) != at or raw.find(gram, at + 1) >= 0
-        contexts.append((again, raw[at - SIDE : at + GRAM] if at >= SIDE else None, raw[at : at + GRAM + SIDE] if at + GRAM + SIDE <= len(raw) else None))
-    left, right = (Counter(c[k] for c in contexts if c[k] is not None) for k in (1, 2))
-    open_ = open_[np.array([again or left[a] > 1 or right[b] > 1 for again, a, b in contexts], bool)]
     if not len(open_):
         return out[0]
-    # all fragments of an anchor go into one collection
+    # all fragments of a context go into one collection
     open_ = open_[np.argsort(group[open_], kind="stable")]
-    parts = [_earlier(open_[a:b], different, least) for a, b in _whole_groups(group[open_], COLLECTION)]
+    few = variants[group[open_]] <= COLLECTION
+    sorted_, many = open_[few], open_[~few]
+    parts = [_earlier(sorted_[a:b], different, least) for a, b in _whole_groups(group[sorted_], COLLECTION)]
+    parts += [_by_distance(many[a:b], different, least, place) for a, b in _whole_groups(group[many], 1)]
     run_owner, run_start, run_n = (np.concatenate(x) for x in zip(*parts))
     by_owner = np.argsort(run_owner, kind="stable")
     run_owner, run_start, run_n = run_owner[by_owner], run_start[by_owner], run_n[by_owner]

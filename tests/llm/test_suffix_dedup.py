@@ -96,3 +96,54 @@ def test_every_passage_has_one_anchor():
     by_passage = {}
     for (o, p), h in seen.items():
         assert by_passage.setdefault(texts[o][p : p + 50], h) == h
+
+
+def cut_fragments(texts):
+    """Records and fragments of whole texts, cut by context; a text's place is its id and content."""
+    raws = [t.encode() for t in texts]
+    owner, start, n, hashes, at = suffix_dedup.anchor_runs(raws)
+    records = np.zeros(len(owner), suffix_dedup.CAND)
+    for name, values in (("id", owner), ("content", owner), ("hash", hashes), ("start", start), ("n", n), ("at", at)):
+        records[name] = values
+    return suffix_dedup.by_context(records, [raws[o][s : s + k + 49] for o, s, k in zip(owner, start, n)], 8)
+
+
+@given(st.lists(st.text("ab", max_size=130) | st.integers(0, 60).map(lambda k: "ab" * k), max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_every_passage_has_one_context(texts):
+    records, fragments = cut_fragments(texts)
+    seen, by_passage = set(), {}
+    for r, raw in zip(records, fragments):
+        assert raw == texts[r["id"]].encode()[r["start"] : r["start"] + r["n"] + 49]
+        for p in range(r["n"]):
+            assert (r["id"], r["start"] + p) not in seen
+            seen.add((r["id"], r["start"] + p))
+            told = (r["hash"], r["at"] - p)  # equal passages have one context, at one distance
+            assert by_passage.setdefault(raw[p : p + 50], told) == told
+    assert len(seen) == sum(max(0, len(t) - 49) for t in texts)
+
+
+def test_a_context_of_many_fragments(monkeypatch):
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    line = noise(60)
+    texts = [noise(rng.randrange(40)) + line[rng.randrange(12) :] + noise(rng.randrange(40)) for _ in range(300)] + ["ab" * k for k in range(20, 60)]
+    records, fragments = cut_fragments(texts)
+    first = {}
+    for i, t in enumerate(texts):
+        for p in range(len(t) - 49):
+            first.setdefault(t[p : p + 50], i)
+    want = {(i, p) for i, t in enumerate(texts) for p in range(len(t) - 49) if first[t[p : p + 50]] < i}
+    for most in (2, 20, suffix_dedup.COLLECTION):
+        monkeypatch.setattr(suffix_dedup, "COLLECTION", most)
+        runs = suffix_dedup.covered_runs(records, fragments)
+        got = [(int(r["id"]), int(r["start"]) + p) for r in runs for p in range(r["n"])]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_a_short_line_everywhere_is_no_hot_context():
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    records, _ = cut_fragments([f"{noise(60)}\nSubscribe for updates\n{noise(60)}" for _ in range(2000)])
+    _, times = np.unique(records["hash"], return_counts=True)
+    assert times.max() <= 2  # an anchor has up to 1,326 fragments
