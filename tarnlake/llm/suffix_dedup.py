@@ -36,8 +36,8 @@ from .near_dedup import mixed
 SPAN, GRAM = 50, 16
 WIDTH = SPAN - GRAM + 1
 SIDE = (SPAN - GRAM + 1) // 2
-#: Bytes and documents whose anchors a task sends on together, and bytes hashed at once.
-CHUNK_BYTES, CHUNK_DOCS, HASHED_BYTES = 4_000_000, 2000, 400_000
+#: Bytes and documents whose anchors a task sends on together, bytes hashed at once, and bytes of fragments sent on together.
+CHUNK_BYTES, CHUNK_DOCS, HASHED_BYTES, FRAGMENT_BYTES = 4_000_000, 2000, 400_000, 8_000_000
 #: Bytes of text for each bucket, which bounds what a task holds of one, and buckets for each shuffle partition at least.
 BUCKET_BYTES, BUCKETS_PER_PARTITION = 8_000_000, 2
 #: Low bits of a hash of an anchor or a context that choose its bucket; the others tell those of a bucket apart.
@@ -51,6 +51,8 @@ SHIFT = bytes([*range(1, 256), 255])
 CAND = np.dtype([("id", "<i8"), ("content", "<i8"), ("hash", "<u8"), ("start", "<u4"), ("n", "u1"), ("at", "u1")])
 COVER = np.dtype([("id", "<i8"), ("content", "<i8"), ("start", "<u4"), ("n", "u1")])
 ANCHOR = np.dtype([("high", "<u4"), ("low", "u1"), ("start", "<u4"), ("doc", "<u2"), ("n", "u1"), ("at", "u1")])
+#: A candidate without its hash, which follows from the bytes sent beside it.
+SENT = np.dtype([("id", "<i8"), ("content", "<i8"), ("start", "<u4"), ("n", "u1"), ("at", "u1")])
 DOC = np.dtype([("id", "<i8"), ("content", "<i8")])
 
 
@@ -300,33 +302,38 @@ def _pressed(buckets: int):
     return run
 
 
+def context_hashes(fragments: list[bytes], places: list[int], buckets: int) -> np.ndarray:
+    """The hash of the context of fragments with one each, by the places of their anchors; its low bits are the bucket."""
+    contexts = (raw[at - SIDE : at + GRAM] if at >= SIDE else raw[at : at + GRAM + SIDE + 1] for raw, at in zip(fragments, places))
+    whole = np.fromiter(map(xxhash.xxh3_64_intdigest, contexts), np.uint64, len(fragments))
+    return whole & ~BUCKET_MASK | (whole & BUCKET_MASK) % np.uint64(buckets)
+
+
 def by_context(records: np.ndarray, fragments: list[bytes], buckets: int) -> tuple[np.ndarray, list[bytes]]:
     """Fragments cut into runs of passages with one context, whose hash and bucket replace those of the anchor.
 
     A passage has SIDE bytes before its anchor (where that stands in it first), or more than SIDE after it.
     These with the anchor are its context: the passage alone decides it, so equal passages meet.
     """
-    owner, begin, n, at, hashes, cut = [], [], [], [], [], []
+    owner, begin, n, at, cut = [], [], [], [], []
     for i, (raw, place, count) in enumerate(zip(fragments, records["at"].tolist(), records["n"].tolist())):
         gram, first = raw[place : place + GRAM], 0
         while first < count:
             here = raw.find(gram, first)
             end = min(here + 1, count)
             middle = min(max(here + 1 - SIDE, first), end)
-            for a, b, context in ((first, middle, slice(here - SIDE, here + GRAM)), (middle, end, slice(here, here + GRAM + SIDE + 1))):
+            for a, b in ((first, middle), (middle, end)):
                 if a < b:
                     owner.append(i)
                     begin.append(a)
                     n.append(b - a)
                     at.append(here - a)
-                    hashes.append(xxhash.xxh3_64_intdigest(raw[context]))
                     cut.append(raw[a : b + SPAN - 1])
             first = end
     out = records[np.array(owner, np.int64)]
     out["start"] += np.array(begin, np.uint32)
     out["n"], out["at"] = n, at
-    whole = np.array(hashes, np.uint64)
-    out["hash"] = whole & ~BUCKET_MASK | (whole & BUCKET_MASK) % np.uint64(buckets)
+    out["hash"] = context_hashes(cut, at, buckets)
     return out, cut
 
 
@@ -348,7 +355,7 @@ def _fragments(buckets: int):
         out = [(k, FOUND, packed(r), None) for k, r in _parted(_destination(covered, buckets), covered)]
         press = zstandard.ZstdCompressor(level=6)
         for k, picks in _parted(records["hash"][mine] & BUCKET_MASK, mine):
-            out.append((k, SINGLE, packed(records[picks]), press.compress(b"".join([fragments[i] for i in picks.tolist()]))))
+            out.append((k, SINGLE, packed(records[picks][list(SENT.names)].astype(SENT)), press.compress(b"".join([fragments[i] for i in picks.tolist()]))))
         return _batch(FRAGMENT_ROWS, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +386,7 @@ def _fragments(buckets: int):
             held.append(mine)
             fragments += [raw[a:b] for a, b in zip(starts, ends)]
             size += sum(ends) - sum(starts)
-            if size >= CHUNK_BYTES:
+            if size >= FRAGMENT_BYTES:
                 yield emitted(held, fragments)
                 held, fragments, size = [], [], 0
         if held:
@@ -491,11 +498,16 @@ def _covered(buckets: int):
             if kind == FOUND:
                 yield _batch(COVER_ROWS, [(bucket, data)])
                 continue
-            got = unpacked(data, CAND)
+            sent = unpacked(data, SENT)
             raw = zstandard.decompress(pressed)
-            ends = np.cumsum(got["n"].astype(np.int64) + SPAN - 1)
+            ends = np.cumsum(sent["n"].astype(np.int64) + SPAN - 1)
+            mine = [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+            got = np.zeros(len(sent), CAND)
+            for name in SENT.names:
+                got[name] = sent[name]
+            got["hash"] = context_hashes(mine, sent["at"].tolist(), buckets)
             records.append(got)
-            fragments += [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+            fragments += mine
         if out := closed():
             yield _batch(COVER_ROWS, out)
 

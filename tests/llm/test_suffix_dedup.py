@@ -65,6 +65,7 @@ def test_odd_texts(spark, monkeypatch):
     texts.append(noise(50000) + base)
     rng.shuffle(texts)
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "FRAGMENT_BYTES", 3000)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("spans", F.lit(1)).withColumn("N_BYTES", F.lit("x"))
     check(suffix_dedup.digest(df).collect(), dict(enumerate(texts)))
     full = suffix_dedup.remove_repeats(df)
