@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +18,7 @@ def _write(df: DataFrame, url: str, table: str, attempts: int, **how) -> None:
     for left in reversed(range(attempts)):
         try:
             return write_jdbc(df, url, table, **how)
-        except PySparkException:
+        except (PySparkException, Py4JJavaError):  # a task's failure is the latter
             if not left:
                 raise
 
