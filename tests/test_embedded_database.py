@@ -64,3 +64,7 @@ def test_publish(told):
 
 def test_parts(told):
     assert sorted(r[0] for r in told["jdbc_partitions"]) == list(range(25)) and told["parted"] == [True, True]
+
+
+def test_filter(told):
+    assert sorted(told["jdbc_where"]) == sorted([f"NATION_{i}", 1] for i in range(1, 25, 5))
