@@ -68,3 +68,7 @@ def test_parts(told):
 
 def test_filter(told):
     assert sorted(told["jdbc_where"]) == sorted([f"NATION_{i}", 1] for i in range(1, 25, 5))
+
+
+def test_schemas(told):
+    assert sorted(told["schema_exists"]) == [["APP", True], ["NOPE", False]]
