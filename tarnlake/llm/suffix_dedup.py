@@ -11,7 +11,9 @@ Burrows-Wheeler transform with common prefixes (bwt.py): neighbours that share S
 passages, and the smallest id of each group decides. Where one context has too many fragments to be
 sorted together, equal passages are told by their distance from the anchor and their bytes.
 
-Copies of a whole content cost little: they are judged by a digest. Hot anchors and fragments are
+Later copies of a whole content cost little: a digest tells them, and they go no further, as the first copy has
+all their passages. A row is known by its id, and by a hash of its content (`content`) only where
+the id is repeated: such a hash beside every record would be a large part of what shuffles. Hot anchors and fragments are
 combined before anything shuffles. Buckets come sorted, one at a time; the sequences of the
 construction are those of one bucket, and Spark's shuffle files are its external files. Nothing is
 capped.
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import collection_bwt
-from .common import add_columns, filter_of, grouped_back, mapped, maybe_in, numbered, release, renamed, salt_of, settled, slices, text_of
+from .common import add_columns, filter_of, grouped_back, mapped, maybe_in, numbered, release, renamed, repeated_filter, salt_of, settled, slices, text_of
 from .near_dedup import mixed
 
 #: Bytes of a passage, of an anchor, and anchors in a passage.
@@ -51,7 +53,7 @@ SHIFT = bytes([*range(1, 256), 255])
 CAND = np.dtype([("id", "<i8"), ("content", "<i8"), ("hash", "<u8"), ("start", "<u4"), ("n", "u1"), ("at", "u1")])
 COVER = np.dtype([("id", "<i8"), ("content", "<i8"), ("start", "<u4"), ("n", "u1")])
 ANCHOR = np.dtype([("high", "<u4"), ("low", "u1"), ("start", "<u4"), ("doc", "<u2"), ("n", "u1"), ("at", "u1")])
-#: A candidate without its hash, which follows from the bytes sent beside it.
+#: A candidate as it travels, without a hash: that of a fragment follows from the bytes sent beside it.
 SENT = np.dtype([("id", "<i8"), ("content", "<i8"), ("start", "<u4"), ("n", "u1"), ("at", "u1")])
 DOC = np.dtype([("id", "<i8"), ("content", "<i8")])
 
@@ -159,8 +161,16 @@ def _parted(keys: np.ndarray, records: np.ndarray) -> Iterator[tuple[int, np.nda
         yield int(keys[begin]), records[begin:end]
 
 
+def _as(kind: np.dtype, records: np.ndarray) -> np.ndarray:
+    """The records with the fields of another kind; those they lack are zero."""
+    out = np.zeros(len(records), kind)
+    for name in set(kind.names) & set(records.dtype.names):
+        out[name] = records[name]
+    return out
+
+
 def _destination(records: np.ndarray, buckets: int) -> np.ndarray:
-    return ((records["id"] ^ records["content"]) & 0x7FFFFFFF) % buckets
+    return (mixed(records["id"].astype(np.uint64) ^ records["content"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -199,15 +209,12 @@ def _anchors(buckets: int):
             order = np.lexsort((ids, content, hashes))
             owner, start, n, hashes, at, content, ids = (x[order] for x in (owner, start, n, hashes, at, content, ids))
             new_hash = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-            new_content = new_hash | np.concatenate(([True], content[1:] != content[:-1]))
+            new_row = new_hash | np.concatenate(([True], (content[1:] != content[:-1]) | (ids[1:] != ids[:-1])))
             group = np.cumsum(new_hash) - 1
-            several = np.bincount(group, new_content)[group] > 1
-            # of a content's copies, the one with the smallest id speaks
-            head = np.flatnonzero(new_content)
-            speaks = ids == ids[head][np.cumsum(new_content) - 1]
+            several = np.bincount(group, new_row)[group] > 1
             bucket = ((hashes & BUCKET_MASK) % np.uint64(buckets)).astype(np.int32)
             out = []
-            single = np.flatnonzero(~several & speaks)
+            single = np.flatnonzero(~several)
             single = single[np.lexsort((start[single], owner[single]))]
             records = np.zeros(len(single), ANCHOR)
             records["high"], records["low"] = hashes[single] >> np.uint64(32), hashes[single] >> np.uint64(24) & np.uint64(0xFF)
@@ -216,12 +223,11 @@ def _anchors(buckets: int):
             out += [(k, SINGLE, *_own_docs(docs, r)) for k, r in _parted(bucket[single], records)]
             known = np.flatnonzero(several & new_hash)
             out += [(k, KNOWN, None, r.tobytes()) for k, r in _parted(bucket[known], hashes[known] >> np.uint64(24))]
-            found = np.flatnonzero(several & speaks)
+            found = np.flatnonzero(several)
             found = found[np.lexsort((start[found], owner[found]))]
-            records = np.zeros(len(found), CAND)
+            records = np.zeros(len(found), SENT)
             for name, values in (("id", ids), ("content", content), ("start", start), ("n", n), ("at", at)):
                 records[name] = values[found]
-            records["hash"] = hashes[found] >> np.uint64(24) << np.uint64(BUCKET_BITS) | bucket[found].astype(np.uint64)
             out += [(k, FOUND, None, packed(r)) for k, r in _parted(_destination(records, buckets), records)]
             yield _batch(ANCHOR_ROWS, out)
 
@@ -229,7 +235,7 @@ def _anchors(buckets: int):
 
 
 def _repeated(buckets: int):
-    """Anchors of one bucket at a time to the candidates: those met in several contents, by destination."""
+    """Anchors of one bucket at a time to the candidates: those met in several texts, by destination."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, singles, known = None, [], []
@@ -244,10 +250,10 @@ def _repeated(buckets: int):
             records = records[np.argsort(records["hash"], kind="stable")]
             h = records["hash"]
             cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            several = np.minimum.reduceat(records["content"], cut) < np.maximum.reduceat(records["content"], cut)
-            several |= np.isin(h[cut], keys)
-            records = records[np.repeat(several, np.diff(cut, append=len(records)))].copy()
-            records["hash"] = records["hash"] << np.uint64(BUCKET_BITS) | np.uint64(current)
+            several = np.isin(h[cut], keys)
+            for name in ("id", "content"):
+                several |= np.minimum.reduceat(records[name], cut) < np.maximum.reduceat(records[name], cut)
+            records = _as(SENT, records[np.repeat(several, np.diff(cut, append=len(records)))])
             records = records[np.lexsort((records["start"], records["content"], records["id"]))]
             return [(k, SINGLE, None, None, packed(r)) for k, r in _parted(_destination(records, buckets), records)]
 
@@ -283,21 +289,15 @@ def _least(ids: np.ndarray, fragments: list[bytes]) -> tuple[np.ndarray, np.ndar
     return which, least, list(number)
 
 
-def _as_cover(records: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(records), COVER)
-    for name in COVER.names:
-        out[name] = records[name]
-    return out
-
-
 def _pressed(buckets: int):
     """Texts by destination, compressed: as they are, they would be the largest shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=5)
         for batch in slices(batches):
-            rows = zip(*[c.to_pylist() for c in batch.columns])
-            yield _batch(DEALT, [(((doc ^ content) & 0x7FFFFFFF) % buckets, KNOWN, doc, content, press.compress(text.encode("utf-8", "surrogatepass"))) for doc, content, text in rows])
+            docs, contents, texts = (c.to_pylist() for c in batch.columns)
+            dests = _destination(np.array(list(zip(docs, contents)), DOC), buckets).tolist()
+            yield _batch(DEALT, [(dest, KNOWN, doc, content, press.compress(text.encode("utf-8", "surrogatepass"))) for dest, doc, content, text in zip(dests, docs, contents, texts)])
 
     return run
 
@@ -347,7 +347,7 @@ def _fragments(buckets: int):
                 records, fragments = by_context(records, fragments, buckets)
             which, least, _ = _least(records["id"], fragments)
             later = records["id"] > least[which]
-            found.append(_as_cover(records[later]))
+            found.append(_as(COVER, records[later]))
             mine = np.flatnonzero(~later)
             if not cut:
                 records, fragments = records[mine], [fragments[i] for i in mine.tolist()]
@@ -355,7 +355,7 @@ def _fragments(buckets: int):
         out = [(k, FOUND, packed(r), None) for k, r in _parted(_destination(covered, buckets), covered)]
         press = zstandard.ZstdCompressor(level=6)
         for k, picks in _parted(records["hash"][mine] & BUCKET_MASK, mine):
-            out.append((k, SINGLE, packed(records[picks][list(SENT.names)].astype(SENT)), press.compress(b"".join([fragments[i] for i in picks.tolist()]))))
+            out.append((k, SINGLE, packed(_as(SENT, records[picks])), press.compress(b"".join([fragments[i] for i in picks.tolist()]))))
         return _batch(FRAGMENT_ROWS, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +365,7 @@ def _fragments(buckets: int):
             if dest != current:
                 current, wanted, table = dest, [], None
             if kind == SINGLE:
-                wanted.append(unpacked(data, CAND))
+                wanted.append(_as(CAND, unpacked(data, SENT)))
                 continue
             if table is None:
                 table = np.concatenate(wanted) if wanted else np.zeros(0, CAND)
@@ -442,7 +442,7 @@ def covered_runs(records: np.ndarray, fragments: list[bytes]) -> np.ndarray:
     """The runs of passages (COVER) of one bucket's fragments that start in a document with a smaller id."""
     which, least, different = _least(records["id"], fragments)
     later = records["id"] > least[which]
-    out = [_as_cover(records[later])]
+    out = [_as(COVER, records[later])]
     # a context with a single fragment has no other passage to compare
     hashes, place = np.zeros(len(different), np.uint64), np.zeros(len(different), np.int64)
     hashes[which], place[which] = records["hash"], records["at"]
@@ -465,7 +465,7 @@ def covered_runs(records: np.ndarray, fragments: list[bytes]) -> np.ndarray:
     first, last = (np.searchsorted(which[mine], run_owner, side=side) for side in ("left", "right"))
     times = last - first
     picks = mine[np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-    runs = _as_cover(records[picks])
+    runs = _as(COVER, records[picks])
     runs["start"] += np.repeat(run_start, times).astype(np.uint32)
     runs["n"] = np.repeat(run_n, times)
     return np.concatenate([*out, runs])
@@ -502,9 +502,7 @@ def _covered(buckets: int):
             raw = zstandard.decompress(pressed)
             ends = np.cumsum(sent["n"].astype(np.int64) + SPAN - 1)
             mine = [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-            got = np.zeros(len(sent), CAND)
-            for name in SENT.names:
-                got[name] = sent[name]
+            got = _as(CAND, sent)
             got["hash"] = context_hashes(mine, sent["at"].tolist(), buckets)
             records.append(got)
             fragments += mine
@@ -568,12 +566,24 @@ def _copies(long_: DataFrame) -> DataFrame:
     return told.filter("id > first").select("id", "content", "whole").distinct()
 
 
+def _without(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """The rows that aren't later copies; only those that may be shuffle."""
+    key = F.xxhash64("id", "content")
+    told = maybe_in(rows, key, filter_of(copies.select(key.alias("k")), "k"), "maybe")
+    sure = told.filter("maybe").join(copies.select("id", "content"), ["id", "content"], "left_anti")
+    return told.filter("NOT maybe").unionByName(sure).select(*rows.columns)
+
+
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """id, content, whole and spans of every text of which something is to be removed; rows: id, content, text (no NULLs)."""
+    """id, content, whole and spans of every text of which something is to be removed; rows: id, content, text (no NULLs).
+
+    Texts of equal id and content are equal.
+    """
     long_ = rows.filter(F.octet_length("text") >= SPAN)
-    spans = settled(_passage_spans(long_))
+    copies = settled(_copies(long_))
+    spans = settled(_passage_spans(_without(long_, copies)))
     release(rows.sparkSession)
-    return spans.join(_copies(long_), ["id", "content"], "full_outer").select("id", "content", "whole", "spans")
+    return spans.select("id", "content", F.lit(None).cast("bigint").alias("whole"), "spans").unionByName(copies.withColumn("spans", F.lit(None).cast("binary")))
 
 
 OUT = "n_bytes bigint, n_removed bigint, spans array<struct<begin:bigint,end:bigint>>, kept_bytes binary"
@@ -597,6 +607,23 @@ def _cut(batch: pa.RecordBatch) -> list[pa.Array]:
     return [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())]
 
 
+def _press(batch: pa.RecordBatch) -> list[pa.Array]:
+    press = zstandard.ZstdCompressor(level=5)
+    return [pa.array([None if raw is None else press.compress(raw) for raw in batch.column(0).to_pylist()], pa.binary())]
+
+
+def _unpress(batch: pa.RecordBatch) -> list[pa.Array]:
+    return [pa.array([None if raw is None else zstandard.decompress(raw) for raw in batch.column(0).to_pylist()], pa.binary())]
+
+
+def _joined(rows: DataFrame, text: str, found: DataFrame) -> DataFrame:
+    """rows with what was found for their id and content; their texts shuffle compressed."""
+    raw = rows.withColumn("raw", F.col(text).cast("string").cast("binary")).drop(text)
+    met = add_columns(raw, _press, "pressed binary", ["raw"], carry=False).join(found, ["id", "content"], "left")
+    back = add_columns(met, _unpress, "raw binary", ["pressed"], carry=False)
+    return back.withColumn(text, F.col("raw").cast("string").cast(rows.schema[text].dataType))
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry_text: bool = True, as_text: bool = False) -> DataFrame:
     """df with n_bytes, n_removed, spans (removed byte ranges, in order) and kept_bytes (what is left).
 
@@ -606,13 +633,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     in two; as_text gives kept_text instead, without such halves.
     """
     rows, (own, text) = numbered(df, id_col, text_col)
-    tagged = rows.withColumn("id", F.col(own).cast("bigint")).withColumn("content", F.xxhash64(text_of(text)))
+    ids = F.xxhash64(F.col(own).cast("bigint"))
+    several = settled(repeated_filter(rows.filter(F.col(own).isNotNull()).select(ids.alias("k")), "k"))
+    tagged = maybe_in(rows.withColumn("id", F.col(own).cast("bigint")), ids, several, "several")
+    tagged = tagged.withColumn("content", F.when(F.col("several"), F.xxhash64(text_of(text))).otherwise(F.lit(0).cast("bigint"))).drop("several")
     found = settled(repeated_spans(tagged.filter("id IS NOT NULL").select("id", "content", text_of(text).alias("text"))))
     release(df.sparkSession)
     key = lambda a, b: F.xxhash64(a, b)
     told = maybe_in(tagged, key("id", "content"), filter_of(found.select(key("id", "content").alias("k")), "k"), "maybe")
     plain = told.filter("NOT maybe").drop("maybe").withColumn("whole", F.lit(None).cast("bigint")).withColumn("spans", F.lit(None).cast("binary"))
-    cut = told.filter("maybe").drop("maybe").join(found, ["id", "content"], "left").select(*plain.columns)
+    cut = _joined(told.filter("maybe").drop("maybe"), text, found).select(*plain.columns)
     cut_text = lambda batch: (lambda c: [*c[:3], pa.array([b.decode("utf-8", "ignore") for b in c[3].to_pylist()], pa.string())])(_cut(batch))
     fn, out = (cut_text, OUT.replace("kept_bytes binary", "kept_text string")) if as_text else (_cut, OUT)
     results = ["n_bytes", "n_removed", "spans", "kept_text" if as_text else "kept_bytes"]

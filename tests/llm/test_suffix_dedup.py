@@ -148,3 +148,21 @@ def test_a_short_line_everywhere_is_no_hot_context():
     records, _ = cut_fragments([f"{noise(60)}\nSubscribe for updates\n{noise(60)}" for _ in range(2000)])
     _, times = np.unique(records["hash"], return_counts=True)
     assert times.max() <= 2  # an anchor has up to 1,326 fragments
+
+
+def test_what_travels(spark, monkeypatch):
+    """Only rows of a repeated id travel with a hash of their content, and later copies of a whole content don't travel."""
+    rng, seen = random.Random(21), []
+    noise = lambda n: "".join(rng.choices("abcdé ", k=n))
+    whole, passage = noise(200), noise(70)
+    rows = [(1, whole), (2, noise(50) + passage), (3, whole), (4, passage + noise(40)), (5, whole[:120] + noise(30)), (6, passage + noise(30)), (6, noise(30) + passage), (7, whole), (7, noise(90)), (1, whole)]
+    spans = suffix_dedup._passage_spans
+    monkeypatch.setattr(suffix_dedup, "_passage_spans", lambda long_: seen.extend(long_.select("id", "content", "text").collect()) or spans(long_))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted((r["id"], r["text"]) for r in seen) == sorted(r for r in rows if r not in [(3, whole), (7, whole)])
+    assert all((r["content"] != 0) == (r["id"] in (1, 6, 7)) for r in seen)
+    # rows of one id don't remove each other's passages, so each is held against the others as the only one of its id
+    for r in got:
+        others = {i: "\n".join(t for k, t in rows if k == i) for i, _ in rows if i < r["doc_id"]}
+        n_bytes, n_removed, n_spans, _ = brute(others | {r["doc_id"]: r["text"]})[r["doc_id"]]
+        assert (r["n_bytes"], r["n_removed"], len(r["spans"])) == (n_bytes, n_removed, n_spans)
