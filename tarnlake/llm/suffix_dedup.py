@@ -21,7 +21,7 @@ capped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -128,7 +128,8 @@ def _anchor_runs(texts: list[bytes]) -> Runs:
     at = places + ((least[places].astype(np.int64) - places) & 63)
     first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (places[1:] != places[:-1] + 1))))
     owner = np.searchsorted(ends, places[first], side="right")
-    return owner, places[first] - (ends - sizes)[owner], np.diff(first, append=len(places)), hashes[at[first]], at[first] - places[first]
+    n, at_ = np.diff(first, append=len(places)), at[first] - places[first]  # at most WIDTH
+    return owner.astype(np.int32), places[first] - (ends - sizes)[owner], n.astype(np.int16), hashes[at[first]], at_.astype(np.int16)
 
 
 def pieces(texts: Iterator[tuple], most: int = CHUNK_BYTES, cut: int = HASHED_BYTES) -> Iterator[list[tuple]]:
@@ -204,14 +205,18 @@ def _anchors(buckets: int):
             if not len(owner):
                 continue
             docs = np.array([(p[0], p[1]) for p in chunk], DOC)
-            start = start + np.array([p[2] for p in chunk])[owner]
-            content, ids = docs["content"][owner], docs["id"][owner]
-            order = np.lexsort((ids, content, hashes))
-            owner, start, n, hashes, at, content, ids = (x[order] for x in (owner, start, n, hashes, at, content, ids))
+            start = (start + np.array([p[2] for p in chunk])[owner]).astype(np.uint32)
+            del chunk
+            rank = np.unique(docs, return_inverse=True)[1].astype(np.int32)  # a row's pieces have one
+            order = np.lexsort((rank[owner], hashes))
+            owner, start, n, hashes, at = (x[order] for x in (owner, start, n, hashes, at))
+            del order
             new_hash = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-            new_row = new_hash | np.concatenate(([True], (content[1:] != content[:-1]) | (ids[1:] != ids[:-1])))
-            group = np.cumsum(new_hash) - 1
-            several = np.bincount(group, new_row)[group] > 1
+            row = rank[owner]
+            new_row = new_hash | np.concatenate(([True], row[1:] != row[:-1]))
+            head = np.flatnonzero(new_hash)
+            several = np.repeat(np.add.reduceat(new_row, head, dtype=np.int64) > 1, np.diff(head, append=len(row)))
+            del row, new_row, head
             bucket = ((hashes & BUCKET_MASK) % np.uint64(buckets)).astype(np.int32)
             out = []
             single = np.flatnonzero(~several)
@@ -226,7 +231,8 @@ def _anchors(buckets: int):
             found = np.flatnonzero(several)
             found = found[np.lexsort((start[found], owner[found]))]
             records = np.zeros(len(found), SENT)
-            for name, values in (("id", ids), ("content", content), ("start", start), ("n", n), ("at", at)):
+            records["id"], records["content"] = docs["id"][owner[found]], docs["content"][owner[found]]
+            for name, values in (("start", start), ("n", n), ("at", at)):
                 records[name] = values[found]
             out += [(k, FOUND, None, packed(r)) for k, r in _parted(_destination(records, buckets), records)]
             yield _batch(ANCHOR_ROWS, out)
@@ -592,7 +598,8 @@ OUT = "n_bytes bigint, n_removed bigint, spans array<struct<begin:bigint,end:big
 def _cut(batch: pa.RecordBatch) -> list[pa.Array]:
     sizes, removed, spans, kept = [], [], [], []
     for text, whole, pairs in zip(*[c.to_pylist() for c in batch.columns]):
-        raw = (text or "").encode("utf-8", "surrogatepass")
+        raw = text or b""
+        raw = raw if isinstance(raw, bytes) else raw.encode("utf-8", "surrogatepass")
         cuts = [(0, len(raw))] if whole is not None else np.frombuffer(pairs, "<i8").reshape(-1, 2).tolist() if pairs else []
         at, rest = 0, []
         for begin, end in cuts:
@@ -612,16 +619,20 @@ def _press(batch: pa.RecordBatch) -> list[pa.Array]:
     return [pa.array([None if raw is None else press.compress(raw) for raw in batch.column(0).to_pylist()], pa.binary())]
 
 
-def _unpress(batch: pa.RecordBatch) -> list[pa.Array]:
-    return [pa.array([None if raw is None else zstandard.decompress(raw) for raw in batch.column(0).to_pylist()], pa.binary())]
-
+def _joined_and_cut(rows: DataFrame, text: str, found: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], out: str) -> DataFrame:
+    """rows with what fn makes of their texts and of what was found for their id and content; the texts shuffle compressed.
 
-def _joined(rows: DataFrame, text: str, found: DataFrame) -> DataFrame:
-    """rows with what was found for their id and content; their texts shuffle compressed."""
+    Texts are decompressed and cut by one function: two in a row would need twice the Python workers at once.
+    """
     raw = rows.withColumn("raw", F.col(text).cast("string").cast("binary")).drop(text)
     met = add_columns(raw, _press, "pressed binary", ["raw"], carry=False).join(found, ["id", "content"], "left")
-    back = add_columns(met, _unpress, "raw binary", ["pressed"], carry=False)
-    return back.withColumn(text, F.col("raw").cast("string").cast(rows.schema[text].dataType))
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        raws = pa.array([None if raw is None else zstandard.decompress(raw) for raw in batch.column(0).to_pylist()], pa.binary())
+        return [*fn(pa.RecordBatch.from_arrays([raws, *batch.columns[1:]], names=batch.schema.names)), raws]
+
+    cut = add_columns(met, run, f"{out}, raw binary", ["pressed", "whole", "spans"], carry=False)
+    return cut.withColumn(text, F.col("raw").cast("string").cast(rows.schema[text].dataType))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry_text: bool = True, as_text: bool = False) -> DataFrame:
@@ -642,11 +653,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = lambda a, b: F.xxhash64(a, b)
     told = maybe_in(tagged, key("id", "content"), filter_of(found.select(key("id", "content").alias("k")), "k"), "maybe")
     plain = told.filter("NOT maybe").drop("maybe").withColumn("whole", F.lit(None).cast("bigint")).withColumn("spans", F.lit(None).cast("binary"))
-    cut = _joined(told.filter("maybe").drop("maybe"), text, found).select(*plain.columns)
     cut_text = lambda batch: (lambda c: [*c[:3], pa.array([b.decode("utf-8", "ignore") for b in c[3].to_pylist()], pa.string())])(_cut(batch))
     fn, out = (cut_text, OUT.replace("kept_bytes binary", "kept_text string")) if as_text else (_cut, OUT)
     results = ["n_bytes", "n_removed", "spans", "kept_text" if as_text else "kept_bytes"]
-    return renamed(add_columns(plain.unionByName(cut), fn, out, [text, "whole", "spans"], carry=carry_text), df.columns, results, [] if carry_text else [df.columns[int(text)]])
+    names = [c for c in rows.columns if carry_text or c != text] + results
+    plain = add_columns(plain, fn, out, [text, "whole", "spans"], carry=carry_text).select(*names)
+    cut = _joined_and_cut(told.filter("maybe").drop("maybe"), text, found, fn, out).select(*names)
+    return renamed(plain.unionByName(cut), df.columns, results, [] if carry_text else [df.columns[int(text)]])
 
 
 def digest(df: DataFrame) -> DataFrame:

@@ -166,3 +166,26 @@ def test_what_travels(spark, monkeypatch):
         others = {i: "\n".join(t for k, t in rows if k == i) for i, _ in rows if i < r["doc_id"]}
         n_bytes, n_removed, n_spans, _ = brute(others | {r["doc_id"]: r["text"]})[r["doc_id"]]
         assert (r["n_bytes"], r["n_removed"], len(r["spans"])) == (n_bytes, n_removed, n_spans)
+
+
+def test_few_python_workers(spark):
+    """Between shuffles one function works on the rows: two in a row take twice the workers, and so memory."""
+    docs = spark.createDataFrame([(1, "a" * 80), (2, "b" + "a" * 80), (3, None)], "doc_id bigint, text string")
+
+    def most(node):
+        if "Join" in node.nodeName():
+            return 0
+        below = [most(node.children().apply(i)) for i in range(node.children().size())]
+        return ("MapInArrow" in node.nodeName()) + max(below, default=0)
+
+    for how in ({"carry_text": False, "as_text": True}, {"carry_text": True}):
+        found = suffix_dedup.remove_repeats(docs, **how)
+        assert most(found._jdf.queryExecution().optimizedPlan()) == 1
+        rows = {r["doc_id"]: r for r in found.collect()}
+        assert [rows[i]["n_removed"] for i in (1, 2, 3)] == [0, 80, 0] and [rows[i]["n_bytes"] for i in (1, 2, 3)] == [80, 81, 0]
+        assert not how["carry_text"] or [rows[i]["text"] for i in (1, 2, 3)] == ["a" * 80, "b" + "a" * 80, None]
+
+
+def test_small_runs():
+    """What a task holds of each run of a chunk."""
+    assert sum(x.itemsize for x in suffix_dedup.anchor_runs([b"some text that goes on and on " * 9])) <= 24
