@@ -592,6 +592,17 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     return spans.select("id", "content", F.lit(None).cast("bigint").alias("whole"), "spans").unionByName(copies.withColumn("spans", F.lit(None).cast("binary")))
 
 
+def _several(ids: DataFrame) -> DataFrame:
+    """The filter of the ids (column id, no NULLs) that several rows have: empty, so that nothing is joined with it, if there are none.
+
+    Different ids meet in a cell by chance, more of them the more there are: those of a cell hit twice are counted.
+    """
+    key = F.xxhash64("id")
+    told = maybe_in(ids, key, settled(repeated_filter(ids.select(key.alias("k")), "k")), "maybe")
+    twice = told.filter("maybe").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+    return settled(filter_of(twice.select(key.alias("k")), "k"))
+
+
 OUT = "n_bytes bigint, n_removed bigint, spans array<struct<begin:bigint,end:bigint>>, kept_bytes binary"
 
 
@@ -644,9 +655,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     in two; as_text gives kept_text instead, without such halves.
     """
     rows, (own, text) = numbered(df, id_col, text_col)
-    ids = F.xxhash64(F.col(own).cast("bigint"))
-    several = settled(repeated_filter(rows.filter(F.col(own).isNotNull()).select(ids.alias("k")), "k"))
-    tagged = maybe_in(rows.withColumn("id", F.col(own).cast("bigint")), ids, several, "several")
+    known = rows.withColumn("id", F.col(own).cast("bigint"))
+    tagged = maybe_in(known, F.xxhash64("id"), _several(known.filter("id IS NOT NULL").select("id")), "several")
     tagged = tagged.withColumn("content", F.when(F.col("several"), F.xxhash64(text_of(text))).otherwise(F.lit(0).cast("bigint"))).drop("several")
     found = settled(repeated_spans(tagged.filter("id IS NOT NULL").select("id", "content", text_of(text).alias("text"))))
     release(df.sparkSession)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from oracle import SF
 from pyspark.sql import functions as F
 
-from tarnlake.llm import suffix_dedup
+from tarnlake.llm import common, suffix_dedup
 from tarnlake.llm.bwt import collection_bwt
 from tarnlake.llm.queries import QUERIES
 
@@ -168,6 +168,24 @@ def test_what_travels(spark, monkeypatch):
         assert (r["n_bytes"], r["n_removed"], len(r["spans"])) == (n_bytes, n_removed, n_spans)
 
 
+def test_ids_that_share_a_cell_are_not_repeated(spark, monkeypatch):
+    """Different ids that meet in the filter by chance bring no filter, which every row would be joined with; repeated ones do."""
+    ids = [170723, 188153]
+    word, mask = common.filter_cell(F.xxhash64("id"))
+    cells = spark.createDataFrame([(i,) for i in ids], "id long").select(word, mask).collect()
+    assert cells[0] == cells[1]
+    line = "a passage of more than fifty bytes that both of these texts have, "
+    filters, plain = [], suffix_dedup.maybe_in
+    monkeypatch.setattr(suffix_dedup, "maybe_in", lambda rows, key, cells, flag: filters.append((flag, cells)) or plain(rows, key, cells, flag))
+    for some, want in ((ids, 0), ([*ids, 5], 0), ([*ids, 5, 5], 1), ([None, None], 0)):
+        filters.clear()
+        df = spark.createDataFrame([(i, f"{line}{n}") for n, i in enumerate(some)], "doc_id long, text string")
+        removed = {(r["doc_id"], r["text"][-1]): r["n_removed"] > 0 for r in suffix_dedup.remove_repeats(df).collect()}
+        first = min((i for i in some if i is not None), default=None)
+        assert removed == {(i, str(n)): i is not None and i != first for n, i in enumerate(some)}
+        assert [cells.count() for flag, cells in filters if flag == "several"] == [want]
+
+
 def test_few_python_workers(spark):
     """Between shuffles one function works on the rows: two in a row take twice the workers, and so memory."""
     docs = spark.createDataFrame([(1, "a" * 80), (2, "b" + "a" * 80), (3, None)], "doc_id bigint, text string")
